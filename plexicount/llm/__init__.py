@@ -1,0 +1,11 @@
+"""Training-data operators.  Nothing else in the library imports this subpackage.
+
+Functions that run in Python workers are pickled by value, so executors need
+neither this repository on their path nor a shipped archive.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
