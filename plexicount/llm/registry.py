@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import packing, quality_rules, token_counts
 
 
 def queries() -> dict:
-    return {"op10_quality_rules": quality_rules.op10_quality_rules}
+    return {
+        "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op9_token_counts": token_counts.op9_token_counts,
+        "op10_quality_rules": quality_rules.op10_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
