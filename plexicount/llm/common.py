@@ -52,7 +52,7 @@ def row_of(df: DataFrame) -> Column:
 
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only; ``lower`` would change other letters as well."""
-    return F.translate(text, UPPER, LOWER)
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def worker_cache(name: str) -> dict:
