@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, license_scan, packing, quality_rules, token_counts, url_filter
+from . import chat_format, decontaminate, license_scan, packing, quality_rules, token_counts, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op3_license_scan": license_scan.op3_license_scan,
         "op5_chat_format": chat_format.op5_chat_format,
+        "op7_decontamination": decontaminate.op7_decontamination,
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_quality_rules": quality_rules.op10_quality_rules,
@@ -20,6 +21,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_license_scan": license_scan.OP3_SQL,
         "op5_chat_format": chat_format.OP5_SQL,
+        "op7_decontamination": decontaminate.OP7_SQL,
         "op8_url_filter": url_filter.OP8_SQL,
         "op10_quality_rules": quality_rules.OP10_SQL,
     }
