@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, license_scan, packing, quality_rules, token_counts, url_filter
+from . import chat_format, decontaminate, license_scan, lm_scoring, near_dup, packing, quality_rules, token_counts, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op3_license_scan": license_scan.op3_license_scan,
+        "op4_lm_scoring": lm_scoring.op4_lm_scoring,
         "op5_chat_format": chat_format.op5_chat_format,
+        "op6_near_duplicates": near_dup.op6_near_duplicates,
         "op7_decontamination": decontaminate.op7_decontamination,
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_token_counts": token_counts.op9_token_counts,
