@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, license_scan, lm_scoring, near_dup, packing, quality_rules, token_counts, url_filter
+from . import chat_format, decontaminate, license_scan, lm_scoring, near_dup, packing, pii, quality_rules, token_counts, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op2_pii": pii.op2_pii,
         "op3_license_scan": license_scan.op3_license_scan,
         "op4_lm_scoring": lm_scoring.op4_lm_scoring,
         "op5_chat_format": chat_format.op5_chat_format,
