@@ -26,6 +26,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,15 +37,25 @@ FAN_IN = 16
 CLOSED = 8
 #: Pieces a task holds before it packs them; what is underfull then stays open.
 HELD = 250_000
-CACHE_LIMIT, CACHED_CHARS = 300_000, 64
-ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Entries of a worker's caches; full ones take no more, as frequent words come early.
+CACHE_LIMIT, CACHED_CHARS = 600_000, 64
+#: Chunks of these characters are composed already, and lower-case character by character.
+PLAIN = re.compile(r"[\x21-\x7E\xA1-\u012F\u0131-\u024F]+")
+#: What the pre-tokenizer makes of lower-case text; letters and digits are Unicode's.
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Byte-level alphabet: visible Latin-1 bytes stand for themselves, the others follow from 256 on.
+VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTES = dict(zip(sorted(set(range(256)) - VISIBLE), range(256, 512))) | {b: b for b in VISIBLE}
 
 
 class WordTokens(dict):
     """Space-separated chunk to the bytes of its ids (little-endian, 32 bits each).
 
-    The tokenizer drops white space, so chunks are independent of each other; inside
-    an ASCII chunk so are the parts its pre-tokenizer makes."""
+    The tokenizer drops white space, so chunks are independent of each other; so are
+    the parts of a chunk that its pre-tokenizer makes.  Parts go to the library's BPE
+    model directly; chunks with unusual characters, or that may hold a special token,
+    go through the whole tokenizer.  A tokenizer for which this gives other ids than
+    it does itself, on a few telling texts, gets whole texts."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -52,34 +63,32 @@ class WordTokens(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.parts = Tokenizer.from_file(path), {}
-        self.split = self._independent()
-
-    def _independent(self) -> bool:
-        """Whether this tokenizer is of the kind whose chunks are independent."""
-        whole = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
-        cases = ("It's a Test, isn't\nIT? 12ab", "we'll  go-go (x) don'ts", "A\n\n'S e")
-        return all(whole(t) == [i for c in t.replace("\n", " ").split(" ") for p in ASCII_PARTS.findall(c.lower()) for i in whole(p)] for t in cases)
+        self.model = self.tokenizer.model
+        self.split = True
+        cases = ("It's a Test, isn't\nIT? 12ab", "we'll  go-go (x) don'ts", "A\n\n'S e", "\u00c9l\u00e8ve, \u00bd \u00aa\u00d7\u017f \u0130x Stra\u00dfe\u2026", "e\u0301 a<|endoftext|>b \u4e2d\u6587")
+        self.split = all(self.encoded(t) == self.ids(t) for t in cases)
+        self.clear()
 
     def encoded(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
+    def part(self, part: str) -> bytes:
+        spelled = part if part.isascii() else part.encode().decode("latin-1").translate(BYTES)
+        out = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled))
+        if len(self.parts) < CACHE_LIMIT and len(part) <= CACHED_CHARS:
+            self.parts[part] = out
+        return out
+
     def __missing__(self, chunk: str) -> bytes:
         if not chunk:
             out = b""
-        elif chunk.isascii() and len(chunk) <= 4 * CACHED_CHARS and "<|" not in chunk:
-            out, parts = b"", self.parts
-            for p in ASCII_PARTS.findall(chunk.lower()):
-                if p not in parts:
-                    if len(parts) >= CACHE_LIMIT:
-                        parts.clear()
-                    parts[p] = self.encoded(p)
-                out += parts[p]
+        elif PLAIN.fullmatch(chunk) and "<|" not in chunk:
+            parts = self.parts
+            out = b"".join(parts[p] if p in parts else self.part(p) for p in PARTS.findall(chunk.lower()))
         else:
             out = self.encoded(chunk)
-        if len(chunk) <= CACHED_CHARS:
-            if len(self) >= CACHE_LIMIT:
-                self.clear()
+        if len(chunk) <= CACHED_CHARS and len(self) < CACHE_LIMIT:
             self[chunk] = out
         return out
 
