@@ -9,9 +9,10 @@ similarity is at least ``PERCENT`` / 100, and components of links are duplicates
 2.  Signatures are cut into bands; classes with a band in common are candidates.  A
     bucket is compared with its smallest member first (a star: as many pairs as
     members).  Only where members of a bucket still lie in different components are
-    the pairs between those components compared, in blocks of ``BLOCK`` members with
-    their signatures, so no pair of a bucket is left out and none is emitted unless
-    it survives.
+    the pairs between those components compared, in tasks that hold two blocks of at
+    most about ``BLOCK`` members and ``BLOCK_SHINGLES`` shingles with signatures and
+    sets.  No pair of a bucket is left out; a task gives out a spanning forest of
+    the links it verified, so its rows are bounded by its members, not by its pairs.
 3.  Verification is sequential: ``BATCH`` hashes at a time are compared, and a pair
     is dropped as soon as the posterior probability that it is similar enough, under
     a uniform prior, falls below ``MISS``.
@@ -45,7 +46,9 @@ from .common import row_of, staged, table, worker_cache
 WORDS, PERCENT = 5, 75
 BANDS, ROWS, BATCH, MISS = 32, 4, 16, 1e-6
 HASHES = BANDS * ROWS
-BLOCK = 128
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
+#: Entries of the 0/1 matrices by which many pairs are verified at once.
+CELLS = 8_000_000
 CACHE_LIMIT, CACHED_BYTES = 400_000, 64
 #: Odd multipliers of the rolling combination of word hashes, by position, and of sequences shorter than a shingle.
 MIX = np.random.default_rng(20).integers(1, 2**63, 2 * WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -178,22 +181,72 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(k).take(pa.array(on, pa.int64())) for k in (0, 1)], ["a", "b"])
 
 
+class Forest:
+    """Union-find over 0 to n - 1."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, k: int) -> int:
+        while self.up[k] != k:
+            self.up[k] = self.up[self.up[k]]
+            k = self.up[k]
+        return k
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections: products of 0/1 matrices, over some columns at a time."""
+    n = len(sets)
+    columns, place = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    total, step = np.zeros((n, n)), max(256, CELLS // n)
+    for at in range(0, len(columns), step):
+        lo, hi = np.searchsorted(place, (at, at + step))
+        held = np.zeros((n, min(step, len(columns) - at)), np.float32)
+        held[row[lo:hi], place[lo:hi] - at] = 1
+        total += held @ held.T
+    return total
+
+
 def _between(least: list[int]):
-    """Within a pair of blocks of one bucket: surviving pairs of different components."""
+    """Within a pair of blocks of one bucket: a forest of the links between different components."""
 
     def run(key, group):
-        first, second = key[1].as_py(), key[2].as_py()
+        band, first, second = (key[k].as_py() for k in (1, 2, 3))
         block, node, label = (group.column(c).to_numpy() for c in ("block", "node", "label"))
-        rows = _matrix(group.column("signature"))
+        rows, sets = _matrix(group.column("signature")), [np.frombuffer(b, np.uint64) for b in group.column("shingles").to_pylist()]
         x, y = (np.flatnonzero(block == b) for b in (first, second))
-        found_a, found_b = [], []
+        likely, near = [], Forest(len(node))
         for i in x:
             others = y[(label[y] != label[i]) & ((node[y] > node[i]) | (first != second))]
-            if len(others):
-                on = others[surviving(np.broadcast_to(rows[i], (len(others), HASHES)), rows[others], least)]
-                found_a += [min(node[i], n) for n in node[on]]
-                found_b += [max(node[i], n) for n in node[on]]
-        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+            if not len(others):
+                continue
+            others = others[surviving(np.broadcast_to(rows[i], (len(others), HASHES)), rows[others], least)]
+            # A pair belongs to the first band it shares.
+            shared = (rows[others, : band * ROWS] == rows[i, : band * ROWS]).reshape(len(others), band, ROWS).all(axis=2).any(axis=1)
+            for j in others[~shared].tolist():
+                likely.append((int(i), j))
+                near.join(int(i), j)
+        pieces: dict[int, list] = {}
+        for pair in likely:
+            pieces.setdefault(near.root(pair[0]), []).append(pair)
+        linked, found = Forest(len(node)), []
+        for pairs in pieces.values():
+            members = sorted({k for pair in pairs for k in pair})
+            at = {m: k for k, m in enumerate(members)}
+            both = intersections([sets[m] for m in members])
+            for i, j in pairs:
+                n = both[at[i], at[j]]
+                if 100 * n >= PERCENT * (len(sets[i]) + len(sets[j]) - n) and linked.join(i, j):
+                    found.append((min(node[i], node[j]), max(node[i], node[j])))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
     return run
 
@@ -221,26 +274,29 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     signed = staged(source.mapInArrow(_signed, "doc_id bigint, n_shingles bigint, digest binary, signature binary"), "near-signed")
     known = signed.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     classes = staged(known.groupBy("digest").agg(F.min("doc_id").alias("node")), "near-classes")
-    own = known.join(classes, (known.digest == classes.digest) & (known.doc_id == classes.node)).select("node", classes.digest, "signature").dropDuplicates(["node", "digest"])
+    own = known.join(classes, (known.digest == classes.digest) & (known.doc_id == classes.node)).select("node", classes.digest, "n_shingles", "signature").dropDuplicates(["node", "digest"])
     own = staged(own, "near-own")
     # Rows that share an id but not a set make their classes one component.
     shared = known.join(classes, "digest").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.collect_set("node").alias("all"))
     shared = shared.where("a < z").select("a", F.explode("all").alias("b")).where("a < b")
     width = 4 * ROWS
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("signature", k * width + 1, width)) for k in range(BANDS)])
-    bands = own.select("node", F.explode(keys).alias("key"))
+    bands = own.select("node", F.posexplode(keys).alias("band", "key"))
     buckets = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    members = staged(bands.join(buckets, "key").select("key", "node", "pivot", "size"), "near-members")
+    members = staged(bands.join(buckets, "key").select("key", "band", "node", "pivot"), "near-members")
     stars = members.where("node > pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
 
     def signatures(end: str) -> DataFrame:
         return own.groupBy(F.col("node").alias(end)).agg(F.first("signature").alias(f"signature_{end}"))
 
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """node, shingles, made again from the texts of the wanted nodes."""
+        texts = source.join(wanted.join(own.select("node", "digest"), "node"), F.col("doc_id") == F.col("node")).select("node", "text", "digest")
+        return staged(texts.mapInArrow(_sets, "node bigint, shingles binary"), "near-sets").dropDuplicates(["node"])
+
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = staged(pairs, "near-survivors")
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        texts = source.join(wanted.join(own.select("node", "digest"), "node"), F.col("doc_id") == F.col("node")).select("node", "text", "digest")
-        sets = staged(texts.mapInArrow(_sets, "node bigint, shingles binary"), "near-sets").dropDuplicates(["node"])
+        sets = sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_linked, "a bigint, b bigint")
@@ -249,16 +305,18 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     links = staged(verified(likely).unionByName(shared), "near-star-links")
     labels = components(links)
     # Buckets whose members the stars have not all joined.
-    placed = members.join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label"))
+    placed = members.join(labels, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label"))
     torn = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high AND size > 2").select("key")
     rest = staged(placed.join(torn, "key"), "near-torn")
     if not rest.isEmpty():
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        dealt = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        held = own.select("node", "n_shingles", "signature").dropDuplicates(["node"])
+        sizes = rest.join(held.select("node", "n_shingles"), "node").groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        dealt = rest.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         pairs_of = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j")))
-        spread = dealt.join(own.select("node", "signature").dropDuplicates(["node"]), "node").select("key", "block", "node", "label", "signature", F.explode(pairs_of).alias("p"))
-        found = spread.select("key", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "node", "label", "signature").groupBy("key", "i", "j").applyInArrow(_between(least), "a bigint, b bigint")
-        more = staged(verified(found.distinct()), "near-more-links")
+        spread = dealt.select("key", "band", "block", "node", "label", F.explode(pairs_of).alias("p"))
+        spread = spread.join(held.select("node", "signature"), "node").join(sets_of(rest.select("node").distinct()), "node")
+        found = spread.select("key", "band", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "node", "label", "signature", "shingles").groupBy("key", "band", "i", "j").applyInArrow(_between(least), "a bigint, b bigint")
+        more = staged(found.distinct(), "near-more-links")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
     placed = classes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id"))
