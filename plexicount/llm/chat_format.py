@@ -7,9 +7,9 @@ its rows stay d, never d squared.  Branches are ranked by score; each of the bes
 ``top`` leaves of a conversation becomes one formatted conversation.
 
 Template: each turn is ``### role: text</turn>`` and a newline.  Inside texts ``\``,
-``#`` and ``<`` get a backslash before them, inside roles ``\``, ``:`` ``#`` ``<``
-and newlines are written ``\\ \c \h \l \n``; so neither mark can occur inside a
-field, and ``read_back`` restores every field exactly.  ``loss`` lists the spans
+``#`` and ``<`` are written ``\\ \h \l``, inside roles ``:`` and newlines also
+``\c \n``; so no mark can occur inside a field, and ``read_back`` restores every
+field exactly.  ``loss`` lists the spans
 (start, length in code points) of the escaped assistant texts.
 
 Defined results: null text and null role count as empty; a message whose parent is
@@ -29,31 +29,25 @@ from pyspark.sql import functions as F
 from .common import staged, table
 
 HEAD, END = "### ", "</turn>\n"
-ROLE_ESCAPES = (("\\", "\\\\"), (":", "\\c"), ("#", "\\h"), ("<", "\\l"), ("\n", "\\n"))
+#: Characters and how they are written; the first is written first.
+TEXT_ESCAPES = (("\\", "\\\\"), ("#", "\\h"), ("<", "\\l"))
+ROLE_ESCAPES = (*TEXT_ESCAPES, (":", "\\c"), ("\n", "\\n"))
 
 
-def escape_text(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\\#<])", r"\\$1")
+def escape(text: Column, codes: tuple[tuple[str, str], ...]) -> Column:
+    for plain, coded in codes:
+        text = F.replace(text, F.lit(plain), F.lit(coded))
+    return text
 
 
-def unescape_text(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
-
-
-def escape_role(role: Column) -> Column:
-    for plain, coded in ROLE_ESCAPES:
-        role = F.replace(role, F.lit(plain), F.lit(coded))
-    return role
-
-
-def unescape_role(role: Column) -> Column:
+def unescape(text: Column, codes: tuple[tuple[str, str], ...]) -> Column:
     def part(x: Column) -> Column:
-        for plain, coded in ROLE_ESCAPES[1:]:
+        for plain, coded in codes[1:]:
             x = F.replace(x, F.lit(coded), F.lit(plain))
         return x
 
     # Pairs of backslashes are read from the left, so they never take half of another code.
-    return F.array_join(F.transform(F.split(role, r"\\\\"), part), "\\")
+    return F.array_join(F.transform(F.split(text, r"\\\\"), part), "\\")
 
 
 def linear_tree(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -103,8 +97,8 @@ def format_chats(tree: DataFrame, top: int = 1, loss_role: str = "assistant") ->
     members = best_paths(tree, top)
     said = tree.select(F.col("conv").alias("c2"), F.col("node").alias("n2"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = members.join(said, F.col("conv").eqNullSafe(F.col("c2")) & (F.col("node") == F.col("n2")))
-    head = F.concat(F.lit(HEAD), escape_role(F.col("role")), F.lit(": "))
-    pieces = turns.select("conv", "leaf", F.struct((-F.col("up")).alias("at"), head.alias("head"), escape_text(F.col("text")).alias("body"), (F.col("role") == loss_role).alias("learn")).alias("turn"))
+    head = F.concat(F.lit(HEAD), escape(F.col("role"), ROLE_ESCAPES), F.lit(": "))
+    pieces = turns.select("conv", "leaf", F.struct((-F.col("up")).alias("at"), head.alias("head"), escape(F.col("text"), TEXT_ESCAPES).alias("body"), (F.col("role") == loss_role).alias("learn")).alias("turn"))
     chats = pieces.groupBy("conv", "leaf").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
     whole = lambda t: F.concat(t.head, t.body, F.lit(END))
     empty = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
@@ -120,8 +114,8 @@ def read_back(chats: DataFrame) -> DataFrame:
     """Adds ``turns`` (role, text) and ``learned`` (texts under the loss mask), from formatted and loss alone."""
     # What follows the last end mark is empty.
     parts = F.split("formatted", "</turn>\n", -1)
-    turn = lambda p: F.struct(unescape_role(F.regexp_extract(p, r"(?s)^### ([^:]*): ", 1)).alias("role"), unescape_text(F.regexp_extract(p, r"(?s)^### [^:]*: (.*)$", 1)).alias("text"))
-    learned = F.transform("loss", lambda s: unescape_text(F.substring(F.col("formatted"), (s.start + 1).cast("int"), s.length.cast("int"))))
+    turn = lambda p: F.struct(unescape(F.regexp_extract(p, r"(?s)^### ([^:]*): ", 1), ROLE_ESCAPES).alias("role"), unescape(F.regexp_extract(p, r"(?s)^### [^:]*: (.*)$", 1), TEXT_ESCAPES).alias("text"))
+    learned = F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), (s.start + 1).cast("int"), s.length.cast("int")), TEXT_ESCAPES))
     return chats.select("*", F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), turn).alias("turns"), learned.alias("learned"))
 
 
