@@ -35,18 +35,18 @@ def mean_distances(umis: DataFrame, keys: list[str]) -> DataFrame:
 
     Worked out by position, not by pair: at each position, pairs that differ are all pairs
     less those that agree, so a key costs its UMIs times their length."""
-    sized = umis.select(*keys, "umi", F.length("umi").alias("size"))
-    letters = sized.where("size > 0").select(*keys, "size", F.posexplode(F.split("umi", "")).alias("at", "letter")).where("letter <> ''")
-    agree = letters.groupBy(*keys, "size", "at", "letter").agg(F.count("*").alias("k")).groupBy(*keys, "size").agg(F.sum(F.expr("k * (k - 1) / 2")).alias("agreeing"))
-    lengths = sized.groupBy(*keys, "size").agg(F.count("*").alias("k"))
+    sized = umis.select(*keys, "umi", F.length("umi").alias("_size"))
+    letters = sized.where("_size > 0").select(*keys, "_size", F.posexplode(F.split("umi", "")).alias("_at", "_letter")).where("_letter <> ''")
+    agree = letters.groupBy(*keys, "_size", "_at", "_letter").agg(F.count("*").alias("_n")).groupBy(*keys, "_size").agg(F.sum(F.expr("_n * (_n - 1) / 2")).alias("_agreeing"))
+    lengths = sized.groupBy(*keys, "_size").agg(F.count("*").alias("_n"))
     a, b = lengths.alias("a"), agree.alias("b")
-    on = F.col("a.size") == F.col("b.size")
+    on = F.col("a._size") == F.col("b._size")
     for key in keys:
         on = on & F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}"))
-    pairs = F.expr("a.k * (a.k - 1) / 2")
-    made = a.join(b, on, "left").select(*[F.col(f"a.{key}").alias(key) for key in keys], "a.k", pairs.alias("pairs"), (pairs * F.col("a.size") - F.coalesce("b.agreeing", F.lit(0.0))).alias("apart"))
-    total = made.groupBy(*keys).agg(F.sum("k").alias("k"), F.sum("pairs").alias("pairs"), F.sum("apart").alias("apart"))
-    return total.select(*keys, F.when(F.col("pairs") == 0, F.lit(-1.0)).otherwise(F.col("apart") / F.col("pairs")).alias("distance"))
+    pairs = F.expr("a._n * (a._n - 1) / 2")
+    made = a.join(b, on, "left").select(*[F.col(f"a.{key}").alias(key) for key in keys], pairs.alias("_pairs"), (pairs * F.col("a._size") - F.coalesce("b._agreeing", F.lit(0.0))).alias("_apart"))
+    total = made.groupBy(*keys).agg(F.sum("_pairs").alias("_pairs"), F.sum("_apart").alias("_apart"))
+    return total.select(*keys, F.when(F.col("_pairs") == 0, F.lit(-1.0)).otherwise(F.col("_apart") / F.col("_pairs")).alias("distance"))
 
 
 def binned(distances: DataFrame, name: str) -> DataFrame:
