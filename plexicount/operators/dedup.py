@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .alignments import MATE_UNMAPPED, SECOND, UNMAPPED, KeyOptions, best_reads, best_reads_exact, flag, key_columns, keyed
+from .alignments import MATE_UNMAPPED, SECOND, UNMAPPED, AlignmentError, KeyOptions, best_reads, best_reads_exact, flag, key_columns, keyed
 from .kernels import umi_groups
 
 PRODUCT_LIMIT = 10_000_000

@@ -7,9 +7,11 @@ the driver, a partition at a time.
 
 from __future__ import annotations
 
+import contextlib
 import gzip
 import re
 import struct
+import sys
 import zlib
 from collections.abc import Iterable
 
@@ -32,8 +34,13 @@ def write_tsv(table: DataFrame, path: str, header: bool = True, compress: bool =
 
 
 def one_file(lines: DataFrame, path: str, head: Iterable[str] = ()) -> None:
-    """The rows of a one-column table as lines of one file; .gz is gzipped."""
-    opened = gzip.open(path, "wt", compresslevel=3, encoding="latin-1", newline="") if path.lower().endswith(".gz") else open(path, "w", encoding="latin-1", newline="")
+    """The rows of a one-column table as lines of one file; .gz is gzipped, ``-`` is standard output."""
+    if path == "-":
+        opened = contextlib.nullcontext(sys.stdout)
+    elif path.lower().endswith(".gz"):
+        opened = gzip.open(path, "wt", compresslevel=3, encoding="latin-1", newline="")
+    else:
+        opened = open(path, "w", encoding="latin-1", newline="")
     with opened as f:
         for line in head:
             f.write(line + "\n")
@@ -41,6 +48,11 @@ def one_file(lines: DataFrame, path: str, head: Iterable[str] = ()) -> None:
             f.write(row[0] + "\n")
 
 
+def tsv_lines(table: DataFrame) -> DataFrame:
+    """A table's rows as tab-separated lines, in its order; nulls are empty."""
+    return table.select(F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in table.columns]).alias("value"))
+
+
 def sam_lines(alignments: DataFrame) -> DataFrame:
     """SAM lines in the table's order."""
     tags = F.transform(F.array_sort(F.map_entries("tags")), lambda t: F.concat_ws(":", t.key, t.value["type"], t.value["value"]))
@@ -102,7 +114,7 @@ def write_bam(alignments: DataFrame, path: str, header: str, contigs: list[tuple
     held = bytearray(b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(contigs)))
     for name, size in contigs:
         held += struct.pack("<i", len(name) + 1) + name.encode("latin-1") + b"\0" + struct.pack("<i", size)
-    with open(path, "wb") as f:
+    with contextlib.nullcontext(sys.stdout.buffer) if path == "-" else open(path, "wb") as f:
         for row in alignments.toLocalIterator():
             held += bam_bytes(row)
             while len(held) >= 60_000:
