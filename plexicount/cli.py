@@ -217,15 +217,15 @@ def run_dedup(spark: SparkSession, a: argparse.Namespace) -> None:
 def write_stats(alignments: DataFrame, options: deduping.DedupOptions, prefix: str) -> None:
     keys = key_columns(options.keys)
     obs = deduping.observations(alignments, options)
-    led = umi_groups(obs, keys, options.method, options.threshold).cache()
+    post = stats.totals(umi_groups(obs, keys, options.method, options.threshold), keys, options.method, options.threshold).cache()
     drawn = null_model.umi_frequencies(keyed(alignments, options.keys))
     sizes = lambda df, salt: df.groupBy(*keys).agg(F.count("*").alias("size")).select("size", F.xxhash64(F.lit(salt), *keys).alias("group_id"))
-    nulls = tuple(null_model.null_distances(sizes(df, salt), drawn, options.keys.seed) for df, salt in ((obs, 0), (stats.totals(led), 1)))
-    distances = stats.edit_distance(obs, led, keys, nulls).orderBy("bin")
+    nulls = tuple(null_model.null_distances(sizes(df, salt), drawn, options.keys.seed) for df, salt in ((obs, 0), (post, 1)))
+    distances = stats.edit_distance(obs, post, keys, nulls).orderBy("bin")
     m = options.method
     tables = {
-        "per_umi_per_position": stats.per_umi_per_position(obs, led).orderBy("counts"),
-        "per_umi": stats.per_umi(obs, led).withColumnRenamed("umi", "UMI").orderBy("UMI"),
+        "per_umi_per_position": stats.per_umi_per_position(obs, post).orderBy("counts"),
+        "per_umi": stats.per_umi(obs, post).withColumnRenamed("umi", "UMI").orderBy("UMI"),
         "edit_distance": distances.select("unique", "unique_null", F.col("deduplicated").alias(m), F.col("deduplicated_null").alias(f"{m}_null"), "edit_distance"),
     }
     for name, table in tables.items():

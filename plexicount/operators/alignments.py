@@ -97,14 +97,17 @@ def sampled(reads: DataFrame, options: KeyOptions, exact: bool) -> DataFrame:
     return reads.repartition(1).sortWithinPartitions("ordinal").mapInArrow(draw, reads.schema)
 
 
-def keyed(alignments: DataFrame, options: KeyOptions, exact: bool = False) -> DataFrame:
-    """Eligible reads with umi, gene or start, is_reverse and tlen_key."""
+def keyed(alignments: DataFrame, options: KeyOptions, exact: bool = False, keep_null: bool = False) -> DataFrame:
+    """Eligible reads with umi, gene or start, is_reverse and tlen_key.  ``keep_null``: also
+    those without a UMI or gene, on which a draw of the subset is spent all the same."""
     reads = alignments.where(~flag(UNMAPPED))
     if options.paired:
         reads = reads.where(~flag(SECOND) & ~flag(MATE_UNMAPPED))
-    reads = sampled(on_contig(reads, options.chrom), options, exact).withColumn("umi", umi_of(options)).where("umi IS NOT NULL")
+    reads = sampled(on_contig(reads, options.chrom), options, exact).withColumn("umi", umi_of(options))
+    reads = reads if keep_null else reads.where("umi IS NOT NULL")
     if options.per_gene:
-        return reads.withColumn("gene", gene_of(options)).where("gene IS NOT NULL")
+        reads = reads.withColumn("gene", gene_of(options))
+        return reads if keep_null else reads.where("gene IS NOT NULL")
     tlen = F.col("tlen") if options.paired and not options.ignore_tlen else F.lit(0).cast("long")
     return reads.withColumn("is_reverse", flag(REVERSE)).withColumn("start", group_position(F.col("pos"), F.col("cigar"), flag(REVERSE))).withColumn("tlen_key", tlen)
 

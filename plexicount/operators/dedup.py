@@ -26,9 +26,8 @@ def observations(alignments: DataFrame, options: DedupOptions) -> DataFrame:
     keys = key_columns(options.keys)
     if not options.exact:
         return best_reads(keyed(alignments, options.keys), keys, options.keys.seed)
-    drawn = KeyOptions(**{**vars(options.keys), "subset": None})
-    # A read's draw comes before its UMI and gene are looked at.
-    return best_reads_exact(keyed(alignments, drawn), keys, options.keys) if options.keys.subset is None else best_reads(keyed(alignments, options.keys, exact=True), keys, options.keys.seed)
+    whole = KeyOptions(**{**vars(options.keys), "subset": None})
+    return best_reads_exact(keyed(alignments, whole, keep_null=True), keys, options.keys)
 
 
 def leads(alignments: DataFrame, options: DedupOptions, umi_whitelist: DataFrame | None = None) -> DataFrame:

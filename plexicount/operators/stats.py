@@ -6,27 +6,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distance import hamming
+from .kernels import edges_of
+
+
+def totals(led: DataFrame, keys: list[str] | None = None, method: str = "directional", threshold: int = 1) -> DataFrame:
+    """keys, umi, n of the leads, n being the reads of their groups.
+
+    In adjacency two leads can be neighbours; then the reads of the lower-ranked one also
+    count for the first lead it neighbours.  ``keys`` are needed there."""
+    leads = led.where(F.col("umi") == F.col("lead"))
+    if method != "adjacency":
+        return leads.withColumn("n", F.col("lead_n"))
+    if keys is None:
+        raise ValueError("the totals of adjacency need the keys")
+    near = edges_of(leads, keys, threshold).where((F.col("n_b") > F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") < F.col("a"))))
+    told = near.groupBy(*keys, "a", "n_a").agg(F.min(F.struct((-F.col("n_b")).alias("_order"), "b"))["b"].alias("_to"))
+    extra = told.groupBy(*keys, "_to").agg(F.sum("n_a").alias("_extra"))
+    a, b = leads.alias("a"), extra.alias("b")
+    on = F.col("a.umi") == F.col("b._to")
+    for key in keys:
+        on = on & F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}"))
+    return a.join(b, on, "left").select("a.*", "b._extra").withColumn("n", F.col("lead_n") + F.coalesce("_extra", F.lit(0))).drop("_extra")
 
 
-def totals(led: DataFrame) -> DataFrame:
-    """keys, umi, n of the leads, n being the reads of their groups."""
-    return led.where(F.col("umi") == F.col("lead")).withColumn("n", F.col("lead_n"))
-
-
-def per_umi_per_position(obs: DataFrame, led: DataFrame) -> DataFrame:
-    """counts, instances_pre, instances_post."""
+def per_umi_per_position(obs: DataFrame, post: DataFrame) -> DataFrame:
+    """counts, instances_pre, instances_post; post: ``totals`` of the leads."""
     tally = lambda df, name: df.groupBy(F.col("n").alias("counts")).agg(F.count("*").alias(name))
-    joined = tally(obs, "instances_pre").join(tally(totals(led), "instances_post"), "counts", "full_outer")
+    joined = tally(obs, "instances_pre").join(tally(post, "instances_post"), "counts", "full_outer")
     return joined.select("counts", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("instances_pre", "instances_post")])
 
 
-def per_umi(obs: DataFrame, led: DataFrame) -> DataFrame:
+def per_umi(obs: DataFrame, post: DataFrame) -> DataFrame:
     """UMI with median_counts, times_observed and total_counts, before and after."""
 
     def tally(df: DataFrame, when: str) -> DataFrame:
         return df.groupBy("umi").agg(F.median("n").cast("long").alias(f"median_counts_{when}"), F.count("*").alias(f"times_observed_{when}"), F.sum("n").alias(f"total_counts_{when}"))
 
-    joined = tally(obs, "pre").join(tally(totals(led), "post"), "umi", "full_outer")
+    joined = tally(obs, "pre").join(tally(post, "post"), "umi", "full_outer")
     return joined.select("umi", *[F.coalesce(f"{c}_{w}", F.lit(0)).alias(f"{c}_{w}") for w in ("pre", "post") for c in ("median_counts", "times_observed", "total_counts")])
 
 
@@ -55,9 +71,9 @@ def binned(distances: DataFrame, name: str) -> DataFrame:
     return distances.groupBy(at.alias("bin")).agg(F.count("*").alias(name))
 
 
-def edit_distance(obs: DataFrame, led: DataFrame, keys: list[str], nulls: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def edit_distance(obs: DataFrame, post: DataFrame, keys: list[str], nulls: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """bin, edit_distance, unique, deduplicated (and their null columns, if given)."""
-    parts = [binned(mean_distances(obs, keys), "unique"), binned(mean_distances(totals(led), keys), "deduplicated")]
+    parts = [binned(mean_distances(obs, keys), "unique"), binned(mean_distances(post, keys), "deduplicated")]
     parts += [binned(d, n) for d, n in zip(nulls or (), ("unique_null", "deduplicated_null"))]
     top = None
     for p in parts:

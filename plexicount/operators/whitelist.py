@@ -108,9 +108,9 @@ def whitelist(reads: DataFrame, options: WhitelistOptions) -> DataFrame:
     if options.above is not None:
         if options.above not in ("discard", "correct"):
             raise ValueError("above the knee errors are discarded or corrected")
-        missed = near_misses(chosen, max(options.threshold, 1))
+        missed = near_misses(chosen, options.threshold)
         if options.above == "correct" and fixed is not None:
-            pure = missed.where((F.col("misses") == 1) & (hamming(F.col("cell"), F.col("one")) <= max(options.threshold, 1)))
+            pure = missed.where((F.col("misses") == 1) & (hamming(F.col("cell"), F.col("one")) <= options.threshold))
             fixed = fixed.unionByName(pure.select(F.col("one").alias("barcode"), F.col("cell").alias("variant"), "n"))
         chosen = chosen.join(missed.select("cell"), "cell", "left_anti")
     listed = chosen.select(F.col("cell").alias("barcode"), "n")

@@ -426,7 +426,7 @@ _STATS = _with(_groups_sql("directional", fx.DUCK_READS, KEYS)) + ", post AS (SE
 
 def _observed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     obs = _obs(fx.umi_reads(spark, sf_dir), KEYS)
-    return obs, umi_groups(obs, KEYS)
+    return obs, stats.totals(umi_groups(obs, KEYS))
 
 
 @query("stats_per_umi_per_position", f"{_STATS} SELECT counts, coalesce(a, 0) AS instances_pre, coalesce(b, 0) AS instances_post FROM (SELECT n AS counts, count(*) AS a FROM obs GROUP BY n) FULL JOIN (SELECT n AS counts, count(*) AS b FROM post GROUP BY n) USING (counts)")
@@ -442,14 +442,25 @@ def stats_per_umi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.per_umi(*_observed(spark, sf_dir))
 
 
+_ADJACENT = _with(_groups_sql("adjacency", fx.DUCK_READS, KEYS)) + """, tops AS (SELECT * FROM led WHERE umi = lead),
+moved AS (SELECT a.contig, a.pos, a.is_reverse, a.umi, a.n, arg_min(b.umi, row(-b.n, b.umi)) AS into_umi FROM tops a JOIN tops b ON a.contig = b.contig AND a.pos = b.pos AND a.is_reverse = b.is_reverse AND a.umi <> b.umi
+    AND hamming(a.umi, b.umi) <= 1 AND (b.n > a.n OR (b.n = a.n AND b.umi < a.umi)) GROUP BY ALL),
+extra AS (SELECT contig, pos, is_reverse, into_umi AS umi, sum(n) AS more FROM moved GROUP BY ALL)"""
+
+
+@query("stats_totals_adjacency", f"{_ADJACENT} SELECT contig, pos, is_reverse, umi, (lead_n + coalesce(more, 0))::BIGINT AS n FROM tops LEFT JOIN extra USING (contig, pos, is_reverse, umi)")
+def stats_totals_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    led = umi_groups(_obs(fx.umi_reads(spark, sf_dir), KEYS), KEYS, "adjacency")
+    return stats.totals(led, KEYS, "adjacency").select(*KEYS, "umi", "n")
+
+
 _MEAN = "SELECT a.contig, a.pos, a.is_reverse, coalesce(avg(hamming(a.umi, b.umi)), -1) AS d FROM {t} a LEFT JOIN {t} b ON a.contig = b.contig AND a.pos = b.pos AND a.is_reverse = b.is_reverse AND a.umi < b.umi GROUP BY ALL"
 _BIN = "SELECT CASE WHEN d <= -1 THEN 0 ELSE ceil(d)::BIGINT + 1 END AS bin, count(*) AS {c} FROM (" + _MEAN + ") GROUP BY 1"
 
 
 @query("stats_edit_distance", f"{_STATS}, a AS ({_BIN.format(c='u', t='obs')}), b AS ({_BIN.format(c='v', t='post')}), bins AS (SELECT unnest(range(0, (SELECT max(bin) FROM (SELECT bin FROM a UNION ALL SELECT bin FROM b)) + 2)) AS bin) SELECT bins.bin, CASE WHEN bins.bin = 0 THEN 'Single_UMI' ELSE (bins.bin - 1)::VARCHAR END AS edit_distance, coalesce(u, 0) AS \"unique\", coalesce(v, 0) AS deduplicated FROM bins LEFT JOIN a ON a.bin = bins.bin LEFT JOIN b ON b.bin = bins.bin")
 def stats_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs, led = _observed(spark, sf_dir)
-    return stats.edit_distance(obs, led, KEYS)
+    return stats.edit_distance(*_observed(spark, sf_dir), KEYS)
 
 
 @query("null_model_distances")

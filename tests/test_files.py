@@ -94,6 +94,26 @@ def test_exact_ties(spark):
     assert (best["n"], best["first"], best["best"]) == (50, 0, want)
 
 
+def test_exact_subset_and_ties_share_a_stream(spark):
+    import random
+
+    from plexicount.schemas import ALIGNMENTS
+
+    rows = [(k, f"r{k}", 0, 0, "c", 10, 5, "4M", -1, -1, 0, "*", "*", {} if k % 3 == 0 else {"RX": {"type": "Z", "value": "AA"}}) for k in range(60)]
+    options = dedup.DedupOptions("unique", keys=KeyOptions(umi_from="tag", subset=0.5, seed=7), exact=True)
+    got = dedup.leads(spark.createDataFrame(rows, ALIGNMENTS), options).first()
+    rng, kept, best, ties = random.Random(7), 0, None, 0
+    for k in range(60):
+        if rng.random() < 0.5 and k % 3:
+            kept += 1
+            if kept == 1:
+                best = k
+                continue
+            ties += 1
+            best = k if rng.random() < 1.0 / ties else best
+    assert (got["n"], got["best"]) == (kept, best)
+
+
 def test_lists(spark, tmp_path):
     (tmp_path / "w.tsv").write_text("AAA\tAAC,AAG\t10\n\nCCC\tAAC\n# x\n")
     path = str(tmp_path / "w.tsv")
