@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import blocks, hamming, masks
+from ..storage import staged
 
 METHODS = ("unique", "percentile", "cluster", "adjacency", "directional")
 ARRAY_LIMIT = 20_000
@@ -118,6 +119,8 @@ def umi_groups(obs: DataFrame, keys: list[str], method: str = "directional", thr
             obs = obs.withColumn("median_n", F.median("n").over(group)).where("100 * n > median_n").drop("median_n")
         rank = F.row_number().over(group.orderBy("first")) - 1
         return obs.select("*", F.col("umi").alias("lead"), F.col("n").alias("lead_n"), rank.cast("int").alias("rank"))
+    # Used by both routes, and once to see whether there is a second.
+    obs = staged(obs, "observations")
     sized = obs.withColumn("group_size", F.count("*").over(group))
     small = sized.where(F.col("group_size") <= array_limit)
     one = F.transform("members", lambda m: F.struct(m.umi.alias("umi"), m.n.alias("n"), m["first"].alias("first"), m.umi.alias("lead"), m.n.alias("lead_n"), F.lit(0).alias("rank")))
@@ -152,9 +155,9 @@ def edges_of(nodes: DataFrame, keys: list[str], threshold: int = 1) -> DataFrame
 
 def _least_ancestor(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """nodes: keys, umi, n, first, seed (a struct that orders).  Each node's smallest seed
-    over all nodes that reach it along edges a to b; rounds are checkpointed."""
-    held = edges.select(*keys, "a", "b").checkpoint()
-    now = nodes.checkpoint()
+    over all nodes that reach it along edges a to b; each round is staged."""
+    held = staged(edges.select(*keys, "a", "b"), "edges")
+    now = staged(nodes, "seeds")
     while True:
         s, e = now.alias("s"), held.alias("e")
         told = s.join(e, _equal(keys, "s", "e") & (F.col("s.umi") == F.col("e.a"))).select(*[F.col(f"e.{k}").alias(k) for k in keys], F.col("e.b").alias("umi"), F.col("s.seed").alias("told"))
@@ -162,7 +165,8 @@ def _least_ancestor(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> Data
         n, t = now.alias("n"), told.alias("t")
         stepped = n.join(t, _equal(keys, "n", "t") & (F.col("n.umi") == F.col("t.umi")), "left")
         stepped = stepped.select("n.*", F.col("t.told").alias("told")).withColumn("changed", F.coalesce(F.col("told") < F.col("seed"), F.lit(False)))
-        now_ = stepped.withColumn("seed", F.least("seed", F.coalesce("told", "seed"))).drop("told").checkpoint()
+        now_ = stepped.withColumn("seed", F.least("seed", F.coalesce("told", "seed"))).drop("told")
+        now_ = staged(now_, "seeds")
         now = now_.drop("changed")
         if now_.where("changed").isEmpty():
             return now
@@ -170,7 +174,6 @@ def _least_ancestor(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> Data
 
 def relational_groups(nodes: DataFrame, keys: list[str], method: str, threshold: int = 1) -> DataFrame:
     """The same groups by joins, for keys with more UMIs than a task should hold."""
-    _checkpoints(nodes)
     edges = edges_of(nodes, keys, threshold)
     seeded = nodes.withColumn("seed", F.struct((-F.col("n")).alias("m"), F.col("first").alias("f"), F.col("umi").alias("u")))
     along = edges.where("n_a >= 2 * n_b - 1") if method == "directional" else edges
@@ -192,13 +195,6 @@ def relational_groups(nodes: DataFrame, keys: list[str], method: str, threshold:
     return out.withColumn("rank", (F.dense_rank().over(Window.partitionBy(*keys).orderBy("seed", "lead_r")) - 1).cast("int")).select(*keys, "umi", "n", "first", "lead", "lead_n", "rank")
 
 
-def _checkpoints(df: DataFrame) -> None:
-    """A folder for checkpoints, where the cluster names none."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/plexicount-checkpoints")
-
-
 def count_molecules(obs: DataFrame, keys: list[str], method: str = "directional", threshold: int = 1) -> DataFrame:
     """keys, count: the number of leads."""
     led = umi_groups(obs, keys, method, threshold)
