@@ -88,7 +88,8 @@ def best_paths(tree: DataFrame, top: int = 1) -> DataFrame:
     for k in reversed(range(len(levels) - 1)):
         step = levels[k].where("jump IS NOT NULL").select(F.col("conv").alias("c2"), F.col("node").alias("n2"), "jump")
         higher = members.join(step, at("node", "n2")).select("conv", "leaf", F.col("jump").alias("node"), (F.col("up") + F.lit(2**k)).alias("up"))
-        members = members.unionByName(higher)
+        # Written each time, as the plan would else double with every step.
+        members = staged(members.unionByName(higher), "chat-members")
     return members
 
 
