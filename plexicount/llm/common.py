@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import getpass
 import sys
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import fresh_dir, shared_dir, staged
+
+__all__ = ["LOWER", "NON_WORD", "UPPER", "WS", "ascii_lower", "fresh_dir", "row_of", "shared_dir", "staged", "table", "worker_cache"]
+
 #: ASCII white space, the only separator of words in most contracts.
 WS = r"[\x20\x09-\x0D]+"
 #: What separates words made of ASCII letters, digits and everything beyond ASCII.
@@ -20,31 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  It is ``spark.checkpoint.dir``;
-    only where that is unset (tests, single machine) a local one is chosen."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file:///tmp/plexicount-{getpass.getuser()}/shared"
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, label: str) -> str:
-    """A new path under the shared folder; the folder's owner clears it."""
-    return f"{shared_dir(spark)}/plexicount/{label}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` to the shared folder and reads it back.  What is
-    read later survives the loss of any executor and is never computed twice."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def row_of(df: DataFrame) -> Column:
     """All columns as one struct, so that working columns can't clash with the caller's."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]) if df.columns else F.struct(F.lit(0))
@@ -56,5 +33,8 @@ def ascii_lower(text: Column) -> Column:
 
 
 def worker_cache(name: str) -> dict:
-    """A dict that lives as long as the Python worker, over all its tasks."""
-    return sys.__dict__.setdefault("_plexicount_worker_caches", {}).setdefault(name, {})
+    """A dict that lives in the Python worker until another operator asks for its own."""
+    held = sys.__dict__.setdefault("_plexicount_worker_caches", {})
+    if name not in held:
+        held.clear()
+    return held.setdefault(name, {})

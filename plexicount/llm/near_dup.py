@@ -49,7 +49,7 @@ HASHES = BANDS * ROWS
 BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 #: Entries of the 0/1 matrices by which many pairs are verified at once.
 CELLS = 8_000_000
-CACHE_LIMIT, CACHED_BYTES = 400_000, 64
+CACHE_LIMIT, CACHED_BYTES = 300_000, 64
 #: Odd multipliers of the rolling combination of word hashes, by position, and of sequences shorter than a shingle.
 MIX = np.random.default_rng(20).integers(1, 2**63, 2 * WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _R = np.random.default_rng(21)
@@ -146,6 +146,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests.append(digest(found) if len(found) else None)
             signatures.append(signature(found).tobytes() if len(found) else None)
         yield pa.record_batch([batch.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "digest", "signature"])
+    _word_hashes().clear()  # an idle worker keeps no words
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,6 +159,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 docs.append(doc)
                 sets.append(found.tobytes())
         yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
+    _word_hashes().clear()
 
 
 def _kept_pairs(least: list[int]):

@@ -37,8 +37,8 @@ FAN_IN = 16
 CLOSED = 8
 #: Pieces a task holds before it packs them; what is underfull then stays open.
 HELD = 250_000
-#: Entries of a worker's caches; full ones take no more, as frequent words come early.
-CACHE_LIMIT, CACHED_CHARS = 600_000, 64
+#: Entries of a task's caches; full ones take no more, as frequent words come early.
+CACHE_LIMIT, CACHED_CHARS = 500_000, 64
 #: Chunks of these characters are composed already, and lower-case character by character.
 PLAIN = re.compile(r"[\x21-\x7E\xA1-\u012F\u0131-\u024F]+")
 #: What the pre-tokenizer makes of lower-case text; letters and digits are Unicode's.
@@ -67,7 +67,11 @@ class WordTokens(dict):
         self.split = True
         cases = ("It's a Test, isn't\nIT? 12ab", "we'll  go-go (x) don'ts", "A\n\n'S e", "\u00c9l\u00e8ve, \u00bd \u00aa\u00d7\u017f \u0130x Stra\u00dfe\u2026", "e\u0301 a<|endoftext|>b \u4e2d\u6587")
         self.split = all(self.encoded(t) == self.ids(t) for t in cases)
+        self.forget()
+
+    def forget(self) -> None:
         self.clear()
+        self.parts.clear()
 
     def encoded(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -183,6 +187,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
             if len(items) > HELD:
                 closed, items = _packed(items, capacity, part, False)
                 yield from _rows(closed, id_kind)
+        # An idle worker keeps the tokenizer, not the words of its last task.
+        words.forget()
         closed, items = _packed(items, capacity, part, False)
         yield from _rows(closed + [p for b in items for p in b[2]], id_kind)
 
