@@ -23,6 +23,8 @@ not read, so none can clash.  A formatted conversation is one row, as long as it
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,22 +73,26 @@ def best_paths(tree: DataFrame, top: int = 1) -> DataFrame:
     # sum: score from the node up to, not including, jump; steps: how many messages that is.
     jumps = kept.select("conv", "node", F.col("parent").alias("jump"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("steps"))
     leaves = kept.join(parents, at("node", "p2"), "left_anti").select("conv", F.col("node").alias("leaf"))
-    rounds, most = 0, max(1, kept.count()).bit_length() + 1
-    levels = [jumps]
-    while rounds < most and not jumps.where("jump IS NOT NULL").isEmpty():
-        above = jumps.select(F.col("conv").alias("c2"), F.col("node").alias("n2"), F.col("jump").alias("jump2"), F.col("sum").alias("sum2"), F.col("steps").alias("steps2"))
-        jumps = jumps.join(above, at("jump", "n2"), "left").select("conv", "node", F.col("jump2").alias("jump"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"))
-        jumps = staged(jumps, "chat-jumps")
-        levels.append(jumps)
-        rounds += 1
-    # After the last round a jump that isn't null runs in a cycle; from such leaves no root is reached.
-    full = jumps.where("jump IS NULL").select(F.col("conv").alias("c2"), F.col("node").alias("n2"), "sum", "steps")
+    # Only messages that haven't reached their root are joined again, so short trees
+    # cost nothing in the rounds that a long one takes.
+    active, finished, levels = jumps.where("jump IS NOT NULL"), [jumps.where("jump IS NULL")], []
+    most = max(1, kept.count()).bit_length() + 1
+    while len(levels) < most and not active.isEmpty():
+        levels.append(active)
+        held = reduce(DataFrame.unionByName, [*finished, active])
+        above = held.select(F.col("conv").alias("c2"), F.col("node").alias("n2"), F.col("jump").alias("jump2"), F.col("sum").alias("sum2"), F.col("steps").alias("steps2"))
+        stepped = active.join(above, at("jump", "n2")).select("conv", "node", F.col("jump2").alias("jump"), (F.col("sum") + F.col("sum2")).alias("sum"), (F.col("steps") + F.col("steps2")).alias("steps"))
+        stepped = staged(stepped, "chat-jumps")
+        active = stepped.where("jump IS NOT NULL")
+        finished.append(stepped.where("jump IS NULL"))
+    # What is still active after the last round runs in a cycle; from such leaves no root is reached.
+    full = reduce(DataFrame.unionByName, finished).select(F.col("conv").alias("c2"), F.col("node").alias("n2"), "sum", "steps")
     ranked = leaves.join(full, at("leaf", "n2")).select("conv", "leaf", (F.col("sum") / F.col("steps")).alias("mean"), "steps")
     order = Window.partitionBy("conv").orderBy(F.col("mean").desc(), "leaf")
     chosen = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("conv", "leaf")
     members = chosen.select("conv", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
-    for k in reversed(range(len(levels) - 1)):
-        step = levels[k].where("jump IS NOT NULL").select(F.col("conv").alias("c2"), F.col("node").alias("n2"), "jump")
+    for k in reversed(range(len(levels))):
+        step = levels[k].select(F.col("conv").alias("c2"), F.col("node").alias("n2"), "jump")
         higher = members.join(step, at("node", "n2")).select("conv", "leaf", F.col("jump").alias("node"), (F.col("up") + F.lit(2**k)).alias("up"))
         # Written each time, as the plan would else double with every step.
         members = staged(members.unionByName(higher), "chat-members")
