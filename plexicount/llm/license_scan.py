@@ -1,8 +1,10 @@
 """License scans as an exact set-similarity join.
 
-A block is a line.  A block meets a template when it contains at least
-``threshold`` of the template's distinct words (containment).  The join finds every
-such pair, exactly:
+A line, or a run of consecutive words wherever lines break, of at most ``RUN`` times a
+template's words, meets the template when it contains at least ``threshold`` of its
+distinct words (containment).  Blocks are lines, and windows of twice the longest run
+that overlap by half: every run lies within one.  The join finds every block and
+template that can meet, exactly, and looks for the runs in those pairs alone:
 
 * words are ordered by their frequency over all blocks, rarest first.  Only the
   templates' own vocabulary can take part, so the counts come from one map-side
@@ -10,7 +12,8 @@ such pair, exactly:
 * prefix filter: of a template with n words of which a must be met, the a-th last
   and all rarer ones form the prefix; a block that meets it has one of them.  Blocks
   and templates are equi-joined on prefix words;
-* length filter: a block with fewer than a vocabulary words is dropped before;
+* length filter: a text or block with fewer than a words of every template is dropped
+  before;
 * positional filter: a shared word at position p of the template and j of the block
   leaves min(n - p, m - j) words to share, which must reach a;
 * a pair is verified once, at its rarest shared word.
@@ -21,18 +24,19 @@ words joined by single spaces.
 
 Defined results: null text counts as empty; an empty text has no words, null
 first_word and last_word, empty labels and score 0; lines of any length are whole
-blocks; repeated rows keep their own result rows; ids may be null; the caller's
+blocks, besides their runs; repeated rows keep their own result rows; ids may be null; the caller's
 columns come back inside ``row``; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, row_of, table
+from .common import ascii_lower, row_of, staged, table
 
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 TEMPLATES = (
@@ -43,6 +47,8 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under cc by nc 4 0"),
 )
 THRESHOLD = 0.8
+#: A run is at most so many times as long as its template.
+RUN = 2
 #: Separators of words where letters keep their case.
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -60,32 +66,44 @@ def _spaces(text: Column) -> Column:
 
 
 def similar_blocks(docs: DataFrame, key_cols: list[str], text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per block and template it meets: the keys, ``label``, ``score`` (containment), ``block``."""
+    """One row per block and template it meets: the keys, ``label``, ``score`` (containment), ``block`` (its words)."""
     spark = docs.sparkSession
-    sets = [(label, sorted(set(words.split()))) for label, words in templates]
-    vocabulary = sorted({w for _, ws in sets for w in ws})
-    least = min(_need(len(ws), threshold) for _, ws in sets)
+    sets = [(label, sorted(set(words.split())), RUN * len(words.split())) for label, words in templates]
+    vocabulary = sorted({w for _, ws, _ in sets for w in ws})
+    needs = [(ws, _need(len(ws), threshold)) for _, ws, _ in sets]
+    least, span = min(need for _, need in needs), max(run for _, _, run in sets)
     strings = lambda ws: F.array(*[F.lit(w) for w in ws]).cast("array<string>")
-    # A line without any of the rarest-needed words is dropped before its words are made.
-    hint = "(?i)" + "|".join(sorted({w for _, ws in sets for w in ws}, key=len, reverse=True)[: max(1, len(vocabulary))])
-    blocks = docs.select(*key_cols, F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("block")).where(F.col("block").rlike(hint))
-    met = blocks.select(*key_cols, "block", F.array_intersect(strings(vocabulary), _words(ascii_lower(F.col("block")))).alias("tokens")).where(F.size("tokens") >= least)
+    # Of a template with n words of which a must be met, any n - a + 1 words hold one that is; long ones are rare.
+    telling = sorted({w for ws, need in needs for w in sorted(ws, key=lambda w: (-len(w), w))[: len(ws) - need + 1]})
+    any_of = lambda conditions: reduce(Column.__or__, conditions)
+    # Arrays of one element: what they hold is computed once.
+    hint = lambda text: F.exists(F.array(text), lambda t: any_of([F.contains(t, F.lit(w)) for w in telling]))
+    enough = lambda words: F.exists(F.array(F.array_intersect(strings(vocabulary), words)), lambda t: any_of([F.size(F.array_intersect(strings(ws), t)) >= need for ws, need in needs]))
+    lowered = docs.select(*key_cols, ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("lowered")).where(hint(F.col("lowered")))
+    whole = lowered.select(*key_cols, "lowered", _words(F.col("lowered")).alias("all")).where(enough(F.col("all")))
+    lines = whole.select(*key_cols, F.lit(True).alias("line"), F.explode(F.transform(F.split("lowered", "\n"), _words)).alias("block"))
+    starts = F.sequence(F.lit(0), F.size("all") - 1, F.lit(span))
+    windows = whole.select(*key_cols, F.lit(False).alias("line"), F.explode(F.transform(starts, lambda k: F.slice("all", k + 1, F.lit(2 * span)))).alias("block"))
+    met = lines.unionByName(windows).where(enough(F.col("block"))).select("*", F.array_intersect(strings(vocabulary), "block").alias("tokens"))
+    met = staged(met, "license-blocks")
     counts = {r["t"]: r["n"] for r in met.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
     ordered = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     rank = {w: k for k, w in enumerate(ordered)}
     index = []
-    for number, (label, ws) in enumerate(sets):
+    for number, (label, ws, run) in enumerate(sets):
         ws = sorted(ws, key=rank.__getitem__)
         need = _need(len(ws), threshold)
-        index += [(w, number, label, p, len(ws), need, ws) for p, w in enumerate(ws[: len(ws) - need + 1])]
-    prefixes = spark.createDataFrame(index, "token string, template int, label string, p int, n int, need int, words array<string>")
-    ranked = met.select(*key_cols, "block", F.array_intersect(strings(ordered), F.col("tokens")).alias("tokens"))
+        index += [(w, number, label, p, len(ws), need, run, ws) for p, w in enumerate(ws[: len(ws) - need + 1])]
+    prefixes = spark.createDataFrame(index, "token string, template int, label string, p int, n int, need int, run int, words array<string>")
+    ranked = met.select(*key_cols, "line", "block", F.array_intersect(strings(ordered), F.col("tokens")).alias("tokens"))
     # A block's own prefix: whatever the template, at least `least` words must follow.
     probes = ranked.select("*", F.posexplode(F.slice("tokens", F.lit(1), F.size("tokens") - least + 1)).alias("j", "token"))
     pairs = probes.join(F.broadcast(prefixes), "token").where(F.least(F.col("n") - F.col("p"), F.size("tokens") - F.col("j")) >= F.col("need"))
     shared = F.array_intersect("words", "tokens")
-    verified = pairs.where((F.size(shared) >= F.col("need")) & (F.get(shared, F.lit(0)) == F.col("token")))
-    return verified.select(*key_cols, "label", (F.size(shared) / F.col("n")).alias("score"), "block")
+    likely = pairs.where((F.size(shared) >= F.col("need")) & (F.get(shared, F.lit(0)) == F.col("token")))
+    runs = F.transform(F.sequence(F.lit(1), F.size("block")), lambda k: F.size(F.array_intersect("words", F.slice("block", k, F.col("run")))))
+    verified = likely.withColumn("both", F.when(F.col("line"), F.size(shared)).otherwise(F.array_max(runs))).where("both >= need")
+    return verified.select(*key_cols, "label", (F.col("both") / F.col("n")).alias("score"), "block")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
