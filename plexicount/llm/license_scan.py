@@ -1,10 +1,11 @@
 """License scans as an exact set-similarity join.
 
-A line, or a run of consecutive words wherever lines break, of at most ``RUN`` times a
-template's words, meets the template when it contains at least ``threshold`` of its
-distinct words (containment).  Blocks are lines, and windows of twice the longest run
-that overlap by half: every run lies within one.  The join finds every block and
-template that can meet, exactly, and looks for the runs in those pairs alone:
+A run of consecutive words, wherever lines break, of at most ``RUN`` times a template's
+words meets the template when it contains at least ``threshold`` of its distinct words
+(containment), and all that tell its license from others (``REQUIRED``).  Blocks are
+windows of twice the longest run that overlap by half: every run lies within one.  The
+join finds every block and template that can meet, exactly, and looks for the runs in
+those pairs alone:
 
 * words are ordered by their frequency over all blocks, rarest first.  Only the
   templates' own vocabulary can take part, so the counts come from one map-side
@@ -23,9 +24,12 @@ bounded by construction.  Base phrases are found with one regular expression ove
 words joined by single spaces.
 
 Defined results: null text counts as empty; an empty text has no words, null
-first_word and last_word, empty labels and score 0; lines of any length are whole
-blocks, besides their runs; repeated rows keep their own result rows; ids may be null; the caller's
-columns come back inside ``row``; an empty table gives no rows.
+first_word and last_word, empty labels and score 0; repeated rows
+keep their own result rows; ids may be null; the caller's columns come back inside
+``row``; an empty table gives no rows.
+
+The SQL compares whole lines of any length and requires no word: it has no wrapped
+notices, and has labels where a line lacks a required word or the words are far apart.
 """
 
 from __future__ import annotations
@@ -47,6 +51,8 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under cc by nc 4 0"),
 )
 THRESHOLD = 0.8
+#: Words that a run needs whatever the threshold, if the label's template has them.
+REQUIRED = {"mit": {"mit"}, "apache": {"apache"}, "gpl": {"general", "public"}, "cc-by-nc": {"cc", "by", "nc"}}
 #: A run is at most so many times as long as its template.
 RUN = 2
 #: Separators of words where letters keep their case.
@@ -80,11 +86,10 @@ def similar_blocks(docs: DataFrame, key_cols: list[str], text_col: str = "text",
     hint = lambda text: F.exists(F.array(text), lambda t: any_of([F.contains(t, F.lit(w)) for w in telling]))
     enough = lambda words: F.exists(F.array(F.array_intersect(strings(vocabulary), words)), lambda t: any_of([F.size(F.array_intersect(strings(ws), t)) >= need for ws, need in needs]))
     lowered = docs.select(*key_cols, ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("lowered")).where(hint(F.col("lowered")))
-    whole = lowered.select(*key_cols, "lowered", _words(F.col("lowered")).alias("all")).where(enough(F.col("all")))
-    lines = whole.select(*key_cols, F.lit(True).alias("line"), F.explode(F.transform(F.split("lowered", "\n"), _words)).alias("block"))
+    whole = lowered.select(*key_cols, _words(F.col("lowered")).alias("all")).where(enough(F.col("all")))
     starts = F.sequence(F.lit(0), F.size("all") - 1, F.lit(span))
-    windows = whole.select(*key_cols, F.lit(False).alias("line"), F.explode(F.transform(starts, lambda k: F.slice("all", k + 1, F.lit(2 * span)))).alias("block"))
-    met = lines.unionByName(windows).where(enough(F.col("block"))).select("*", F.array_intersect(strings(vocabulary), "block").alias("tokens"))
+    windows = whole.select(*key_cols, F.explode(F.transform(starts, lambda k: F.slice("all", k + 1, F.lit(2 * span)))).alias("block"))
+    met = windows.where(enough(F.col("block"))).select("*", F.array_intersect(strings(vocabulary), "block").alias("tokens"))
     met = staged(met, "license-blocks")
     counts = {r["t"]: r["n"] for r in met.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
     ordered = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
@@ -93,16 +98,17 @@ def similar_blocks(docs: DataFrame, key_cols: list[str], text_col: str = "text",
     for number, (label, ws, run) in enumerate(sets):
         ws = sorted(ws, key=rank.__getitem__)
         need = _need(len(ws), threshold)
-        index += [(w, number, label, p, len(ws), need, run, ws) for p, w in enumerate(ws[: len(ws) - need + 1])]
-    prefixes = spark.createDataFrame(index, "token string, template int, label string, p int, n int, need int, run int, words array<string>")
-    ranked = met.select(*key_cols, "line", "block", F.array_intersect(strings(ordered), F.col("tokens")).alias("tokens"))
+        index += [(w, number, label, p, len(ws), need, run, ws, sorted(REQUIRED.get(label, set()).intersection(ws))) for p, w in enumerate(ws[: len(ws) - need + 1])]
+    prefixes = spark.createDataFrame(index, "token string, template int, label string, p int, n int, need int, run int, words array<string>, required array<string>")
+    ranked = met.select(*key_cols, "block", F.array_intersect(strings(ordered), F.col("tokens")).alias("tokens"))
     # A block's own prefix: whatever the template, at least `least` words must follow.
     probes = ranked.select("*", F.posexplode(F.slice("tokens", F.lit(1), F.size("tokens") - least + 1)).alias("j", "token"))
     pairs = probes.join(F.broadcast(prefixes), "token").where(F.least(F.col("n") - F.col("p"), F.size("tokens") - F.col("j")) >= F.col("need"))
     shared = F.array_intersect("words", "tokens")
     likely = pairs.where((F.size(shared) >= F.col("need")) & (F.get(shared, F.lit(0)) == F.col("token")))
-    runs = F.transform(F.sequence(F.lit(1), F.size("block")), lambda k: F.size(F.array_intersect("words", F.slice("block", k, F.col("run")))))
-    verified = likely.withColumn("both", F.when(F.col("line"), F.size(shared)).otherwise(F.array_max(runs))).where("both >= need")
+    runs = F.transform(F.sequence(F.lit(1), F.size("block")), lambda k: F.array_intersect("words", F.slice("block", k, F.col("run"))))
+    runs = F.filter(runs, lambda both: F.size(F.array_except("required", both)) == 0)
+    verified = likely.withColumn("both", F.array_max(F.transform(runs, F.size))).where("both >= need")
     return verified.select(*key_cols, "label", (F.col("both") / F.col("n")).alias("score"), "block")
 
 

@@ -18,3 +18,11 @@ def test_wrapped_notices(spark):
     got = scanned(spark, [MIT, gpl, far, MIT.replace("\n", " "), *moved])
     assert got[0] == got[3] == ("mit", 1.0) and got[1] == ("gpl", 1.0) and got[2] == ("mit", 0.8)
     assert {got[4 + k] for k in range(len(moved))} == {("mit", 1.0)}
+
+
+def test_labels_of_other_licenses(spark):
+    scattered = "released " + "word " * 40 + "under " + "word " * 40 + "the mit " + "word " * 40 + "license"
+    others = ["Released under the BSD License.", "Licensed under CC BY 4.0", "Licensed under CC BY-SA 4.0", scattered, "This work is licensed under the GNU Free Documentation License version 3"]
+    got = scanned(spark, [*others, "Licensed under CC BY-NC 4.0", "Released under an MIT License"])
+    assert [got[k] for k in range(len(others))] == [("", 0.0)] * len(others)
+    assert got[len(others)] == ("cc-by-nc", 1.0) and got[len(others) + 1][1] == 0.8
