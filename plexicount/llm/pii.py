@@ -3,8 +3,8 @@ r"""Personal data in texts: fixed patterns, and a character-level BiLSTM with CR
 The patterns give the base spans.  The network, trained in numpy from labelled spans
 (``labelled``: prose with personal data in many spellings, and with numbers that
 aren't), finds spellings that the patterns miss, such as numbers without a country
-code.  It reads windows of ``WINDOW`` characters that overlap by half; each is decoded
-by Viterbi, so a span of at most half a window lies whole in one of them.  Spans of all
+code.  It reads windows of ``WINDOW`` characters at every ``STEP``; each is decoded by
+Viterbi, and a span of at most ``LONGEST`` characters lies whole inside one of them.  Spans of all
 windows of a text are then reconciled globally: the disjoint set with the largest sum
 of scores is kept, and spans that touch a base span give way to it.
 
@@ -36,7 +36,11 @@ from pyspark.sql import functions as F
 from .common import row_of, table
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, REACH, LONGEST = 128, 40, 64
+WINDOW, LONGEST = 128, 64
+#: No less than LONGEST, so that a window begins before any span that holds a trigger.
+REACH = LONGEST
+#: Of windows: a span needs a character before and behind it, save at the text's ends.
+STEP = WINDOW - LONGEST - 1
 BATCHES, BATCH, LENGTH, HIDDEN, EMBEDDED = 260, 32, 80, 16, 12
 SIGNS = 130  # 0: padding; 1 to 128: ASCII; 129: all others
 TAGS = ["O", *[f"{p}-{k}" for k in KINDS for p in "BI"]]
@@ -282,7 +286,8 @@ def trained(seed: int = 11) -> BiLstmCrf:
 
 # ------------------------------------------------------------------- windows
 
-TRIGGER = re.compile(r"@|[(\[]at[)\]]|[0-9](?:[ ().+-]{0,3}[0-9]){8,}")
+#: What any valid span holds: a sign, 9 digits with at most what else a span has room for, or a dotted run.
+TRIGGER = re.compile(r"@|[(\[]at[)\]]|[0-9](?:[ ().+-]{0,54}[0-9]){8,}|[0-9]+(?:\.[0-9]+){3,}")
 SPELLED = re.compile(r"[\w.%+-]+ ?(?:@|\(at\)|\[at\]) ?[\w-]+(?:\.[\w-]+)+")
 GROUPED = re.compile(r"\+?(?:[0-9]{1,3}[ .-])?\(?[0-9]{2,4}\)?[ .-][0-9 .-]*[0-9]")
 
@@ -308,7 +313,7 @@ def windows(text: str) -> list[int]:
             regions[-1][1] = z
         else:
             regions.append([a, z])
-    return [s for a, z in regions for s in range(a, max(a + 1, z - WINDOW // 2), WINDOW // 2)]
+    return [s for a, z in regions for s in range(a, max(a + 1, z - LONGEST), STEP)]
 
 
 def reconciled(spans: list[tuple[int, int, int, float]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

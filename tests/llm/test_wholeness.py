@@ -1,6 +1,11 @@
 """What operators once left out: cases that lie across lines, windows, ids and orders."""
 
-from plexicount.llm import license_scan
+import random
+
+import numpy as np
+import pytest
+
+from plexicount.llm import license_scan, pii
 
 MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
 
@@ -26,3 +31,31 @@ def test_labels_of_other_licenses(spark):
     got = scanned(spark, [*others, "Licensed under CC BY-NC 4.0", "Released under an MIT License"])
     assert [got[k] for k in range(len(others))] == [("", 0.0)] * len(others)
     assert got[len(others)] == ("cc-by-nc", 1.0) and got[len(others) + 1][1] == 0.8
+
+
+class Tagger:
+    """In the network's place: tags one string as a span of one kind."""
+
+    def __init__(self, span, kind):
+        self.codes, self.kind = pii.signs([span], len(span))[0], kind
+
+    def decode(self, codes):
+        path, n = np.zeros(codes.shape, np.int64), len(self.codes)
+        for row, out in zip(codes, path):
+            for k in range(len(row) - n + 1):
+                if (row[k : k + n] == self.codes).all():
+                    out[k : k + n] = 2 * self.kind + 2
+                    out[k] = 2 * self.kind + 1
+        return path, (path > 0).astype(np.float32)
+
+
+@pytest.mark.parametrize(("kind", "span"), [(0, "a" * 45 + "(at)example.org"), (0, "b" * 50 + "[at]example.cz"), (1, "1.2.3.4"), (3, "555" + " " * 40 + "123 4567 89")])
+def test_spans_inside_windows(kind, span):
+    assert pii.valid(kind, span) and len(span) <= pii.LONGEST
+    model, rng = Tagger(span, kind), random.Random(5)
+    lead = "300." if kind == 1 else ""
+    for before in [0, 1, *range(20, 200, 3)]:
+        for after in (0, 1, 200):
+            text = "".join(rng.choice("xyz ") for _ in range(before)) + (" " if before else "") + lead
+            found = pii.find_all([text + span + (" " + "w " * after if after else "")], model)[0]
+            assert (len(text), kind, len(text) + len(span), False) in found
