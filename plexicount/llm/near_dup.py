@@ -4,8 +4,9 @@ Documents are sets of distinct five-word shingles; two are linked when their Jac
 similarity is at least ``PERCENT`` / 100, and components of links are duplicates.
 
 1.  One pass makes, for each document, the digest of its shingle set and a signature
-    of ``HASHES`` minima.  Equal sets become one class, named by its smallest id, so
-    thousands of copies cost one signature from here on.
+    of ``HASHES`` minima.  Equal sets become one class with a number of its own (an id may
+    have several sets) and its smallest id, so thousands of copies cost one
+    signature from here on.
 2.  Signatures are cut into bands; classes with a band in common are candidates.  A
     bucket is compared with its smallest member first (a star: as many pairs as
     members).  Only where members of a bucket still lie in different components are
@@ -19,7 +20,8 @@ similarity is at least ``PERCENT`` / 100, and components of links are duplicates
 4.  Survivors are verified exactly on the full shingle sets, made again from the
     texts of just those documents.
 5.  Components come from label propagation with pointer jumping over the links of
-    class representatives; each round is written to the shared folder.
+    classes; each round is written to the shared folder.  A component is named by
+    the smallest id of its classes.
 
 A pair at exactly 0.75 shares no band with probability (1 - 0.75**4)**32, 5 in a
 million; pruning adds ``MISS``.  There is no cap on buckets, partners or candidates.
@@ -275,8 +277,9 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     least = least_matches(PERCENT / 100, miss)
     signed = staged(source.mapInArrow(_signed, "doc_id bigint, n_shingles bigint, digest binary, signature binary"), "near-signed")
     known = signed.where("doc_id IS NOT NULL AND digest IS NOT NULL")
-    classes = staged(known.groupBy("digest").agg(F.min("doc_id").alias("node")), "near-classes")
-    own = known.join(classes, (known.digest == classes.digest) & (known.doc_id == classes.node)).select("node", classes.digest, "n_shingles", "signature").dropDuplicates(["node", "digest"])
+    # Written once, so that the numbers stay.
+    classes = staged(known.groupBy("digest").agg(F.min("doc_id").alias("name")).withColumn("node", F.monotonically_increasing_id()), "near-classes")
+    own = known.join(classes, (known.digest == classes.digest) & (known.doc_id == classes.name)).select("node", "name", classes.digest, "n_shingles", "signature").dropDuplicates(["node"])
     own = staged(own, "near-own")
     # Rows that share an id but not a set make their classes one component.
     shared = known.join(classes, "digest").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.collect_set("node").alias("all"))
@@ -289,11 +292,11 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     stars = members.where("node > pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
 
     def signatures(end: str) -> DataFrame:
-        return own.groupBy(F.col("node").alias(end)).agg(F.first("signature").alias(f"signature_{end}"))
+        return own.select(F.col("node").alias(end), F.col("signature").alias(f"signature_{end}"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """node, shingles, made again from the texts of the wanted nodes."""
-        texts = source.join(wanted.join(own.select("node", "digest"), "node"), F.col("doc_id") == F.col("node")).select("node", "text", "digest")
+        texts = source.join(wanted.join(own.select("node", "name", "digest"), "node"), F.col("doc_id") == F.col("name")).select("node", "text", "digest")
         return staged(texts.mapInArrow(_sets, "node bigint, shingles binary"), "near-sets").dropDuplicates(["node"])
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -311,7 +314,7 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     torn = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high AND size > 2").select("key")
     rest = staged(placed.join(torn, "key"), "near-torn")
     if not rest.isEmpty():
-        held = own.select("node", "n_shingles", "signature").dropDuplicates(["node"])
+        held = own.select("node", "n_shingles", "signature")
         sizes = rest.join(held.select("node", "n_shingles"), "node").groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
         dealt = rest.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         pairs_of = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j")))
@@ -321,7 +324,9 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         more = staged(found.distinct(), "near-more-links")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
-    placed = classes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id"))
+    linked = staged(labels.join(classes, "node").select("digest", "label", "name"), "near-linked")
+    named = linked.join(linked.groupBy("label").agg(F.min("name").alias("least")), "label").select(F.col("digest").alias("d"), "least")
+    placed = classes.join(named, F.col("digest") == F.col("d"), "left").select("digest", F.coalesce("least", "name").alias("component_id"))
     ids = signed.select("doc_id", "n_shingles", "digest")
     out = ids.join(placed, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from plexicount.llm import license_scan, pii
+from plexicount.llm import license_scan, near_dup, pii
 
 MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
 
@@ -59,3 +59,20 @@ def test_spans_inside_windows(kind, span):
             text = "".join(rng.choice("xyz ") for _ in range(before)) + (" " if before else "") + lead
             found = pii.find_all([text + span + (" " + "w " * after if after else "")], model)[0]
             assert (len(text), kind, len(text) + len(span), False) in found
+
+
+def near_copies(seed, n=2):
+    """A text and copies of it with one other word each."""
+    rng = random.Random(seed)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(100)]
+    return [" ".join(words)] + [" ".join([*words[: 30 * k + 9], f"n{k}", *words[30 * k + 10 :]]) for k in range(1, n)]
+
+
+def test_near_copies_of_each_text_of_an_id(spark):
+    rows = []
+    for k in range(6):
+        (a, a2), (b, b2) = near_copies(2 * k), near_copies(2 * k + 1)
+        rows += [(10 * k, a), (10 * k, b), (10 * k + 1, a2), (10 * k + 2, b2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in near_dup.find_near_duplicates(docs).collect()}
+    assert got == {(i, i // 10 * 10) for i, _ in rows}
