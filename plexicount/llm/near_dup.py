@@ -332,8 +332,28 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def single_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Exactly one row of each group of near-duplicates, with all columns: of the smallest
+    id, null ids last, the first such row.  Rows that share an id are of one group,
+    empty texts included; rows with a null id are linked by their texts."""
+    rows = staged(docs.select(F.monotonically_increasing_id().alias("at"), row_of(docs).alias("row")), "near-rows")
+    slim = rows.select("at", F.col(f"row.`{id_col}`").cast("long").alias("own"))
+    found = find_near_duplicates(rows.select("at", F.col(f"row.`{text_col}`").alias("text")), "at", "text")
+    placed = staged(slim.join(found.select("doc_id", "component_id"), slim.at == F.col("doc_id")).select("at", "own", F.col("component_id").alias("grp")), "near-placed")
+    # Groups that share an id are one; ids of one group link nothing more.
+    several = placed.where("own IS NOT NULL").groupBy("own").agg(F.min("grp").alias("a"), F.max("grp").alias("z")).where("a < z").select("own", "a")
+    links = staged(placed.join(several, "own").where("a < grp").select("a", F.col("grp").alias("b")).distinct(), "near-id-links")
+    if not links.isEmpty():
+        merged = components(links)
+        placed = placed.join(merged, F.col("grp") == F.col("node"), "left").select("at", "own", F.coalesce("label", "grp").alias("grp"))
+    first = placed.groupBy("grp").agg(F.min(F.struct(F.col("own").isNull().alias("none"), "own", "at")).alias("m")).select(F.col("m.at").alias("at"))
+    gone = placed.join(first, "at", "left_anti").select("at")
+    return rows.join(gone, "at", "left_anti").select("row.*")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` of which each group of near-duplicates keeps the smallest id, with all columns."""
+    """The rows of ``docs`` of which each group of near-duplicates keeps the smallest id, with all columns.
+    All rows of that id stay, and rows with a null id; ``single_near_duplicates`` keeps one row of a group."""
     found = find_near_duplicates(docs, id_col, text_col)
     gone = found.where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
     rows = docs.select(row_of(docs).alias("row"))

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from plexicount.llm import license_scan, near_dup, pii
 
 MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
@@ -76,3 +77,14 @@ def test_near_copies_of_each_text_of_an_id(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {(r["doc_id"], r["component_id"]) for r in near_dup.find_near_duplicates(docs).collect()}
     assert got == {(i, i // 10 * 10) for i, _ in rows}
+
+
+def test_pipeline_keeps_one_row_of_a_group(spark):
+    (a, a2), (b, b2), (c, _) = (near_copies(20 + k) for k in range(3))
+    rows = [(2, a), (2, a), (None, a2), (1, a2), (None, b), (None, b), (None, b2), (5, c), (5, ""), (6, "x y"), (6, a), (None, None)]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id bigint, text string, k int").coalesce(1)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert len(kept) == 4 and (1, a2) in kept and (None, None) in kept and sum(t in (b, b2) for _, t in kept) == 1 and sum(i == 5 for i, _ in kept) == 1
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
