@@ -9,7 +9,11 @@ What goes up is bounded.  After best fit at most one bin of a partition is half
 full or less (two such would have been one), and only such a bin can move into
 another.  A parent therefore merges at most ``FAN_IN`` bins, and needs no more
 hosts than that: each child sends its ``FAN_IN + 1`` emptiest bins and closes the
-rest.  No task ever holds more than about ``FAN_IN ** 2`` bins, at any input size.
+rest.  No merging task ever holds more than about ``FAN_IN ** 2`` bins, at any input size.
+
+A task of level 0 packs whenever it holds ``HELD`` pieces.  Bins that then have room
+take pieces it reads later, best fit (``Hosts``); their places are final, so only a
+number of each is held.  Pieces that are in one bin by then aren't parted again.
 
 Defined results: null text counts as empty (one token, the end); a text of any
 length is tokenised whole and cut into ``capacity`` pieces; repeated rows are
@@ -35,7 +39,7 @@ from .common import staged, table, worker_cache
 FAN_IN = 16
 #: Bins with at most so many free tokens are closed at once.
 CLOSED = 8
-#: Pieces a task holds before it packs them; what is underfull then stays open.
+#: Pieces a task holds before it packs them; bins with room then stay open for what it reads later.
 HELD = 250_000
 #: Entries of a task's caches; full ones take no more, as frequent words come early.
 CACHE_LIMIT, CACHED_CHARS = 500_000, 64
@@ -128,6 +132,43 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+class Hosts:
+    """Bins whose pieces have been given out, by room; more pieces fit behind those."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.rooms = capacity, 0
+        self.by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
+
+    def add(self, sequence: int, room: int) -> None:
+        if room > CLOSED:
+            self.by_room[room].append(sequence)
+            self.rooms |= 1 << room
+
+    def take(self, items: list[tuple[int, int, list[tuple]]]) -> tuple[list[tuple], list[tuple[int, int, list[tuple]]]]:
+        """Rows of the items that fit, largest first, each in the fullest bin with room; the other items."""
+        rows, others = [], []
+        for item in sorted(items, key=lambda x: -x[1]):
+            fits = self.rooms >> item[1]
+            if not fits:
+                others.append(item)
+                continue
+            room = item[1] + (fits & -fits).bit_length() - 1
+            sequence = self.by_room[room].pop()
+            if not self.by_room[room]:
+                self.rooms ^= 1 << room
+            rows += [(*p[:5], sequence, p[6] + self.capacity - room, None) for p in item[2]]
+            self.add(sequence, room - item[1])
+        return rows, others
+
+    def keep(self, rows: list[tuple]) -> None:
+        """Of closed rows: the bins with room."""
+        used: dict[int, int] = {}
+        for p in rows:
+            used[p[5]] = used.get(p[5], 0) + p[3]
+        for sequence, n in used.items():
+            self.add(sequence, self.capacity - n)
+
+
 #: A piece in its sequence.  grp: the group that packs it again; null where its sequence is closed.
 SCHEMA = "doc_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint, grp bigint"
 FIELDS = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "grp")
@@ -172,7 +213,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
         if tokenizer_path not in held:
             held[tokenizer_path] = WordTokens(tokenizer_path)
         words, part = held[tokenizer_path], TaskContext.get().partitionId()
-        items, made, id_kind = [], part << 32, pa.int64()
+        items, made, id_kind, hosts = [], part << 32, pa.int64(), Hosts(capacity)
         for batch in batches:
             id_kind, whole = batch.schema.field(0).type, []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -185,12 +226,15 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
                     made += 1
             yield from _rows(whole, id_kind)
             if len(items) > HELD:
+                placed, items = hosts.take(items)
                 closed, items = _packed(items, capacity, part, False)
-                yield from _rows(closed, id_kind)
+                hosts.keep(closed)
+                yield from _rows(placed + closed, id_kind)
         # An idle worker keeps the tokenizer, not the words of its last task.
         words.forget()
+        placed, items = hosts.take(items)
         closed, items = _packed(items, capacity, part, False)
-        yield from _rows(closed + [p for b in items for p in b[2]], id_kind)
+        yield from _rows(placed + closed + [p for b in items for p in b[2]], id_kind)
 
     def merger(groups: int):
         def merge(key, group):

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from plexicount.llm import license_scan, near_dup, pii
+from plexicount.llm import license_scan, near_dup, packing, pii
 
 MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
 
@@ -88,3 +88,26 @@ def test_pipeline_keeps_one_row_of_a_group(spark):
     kept = [(r["doc_id"], r["text"]) for r in got.collect()]
     assert len(kept) == 4 and (1, a2) in kept and (None, None) in kept and sum(t in (b, b2) for _, t in kept) == 1 and sum(i == 5 for i, _ in kept) == 1
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_bins_stay_open_for_later_pieces(spark, monkeypatch):
+    """More pieces than a task holds: long ones first, then those that fit behind them."""
+    monkeypatch.setattr(packing, "HELD", 100)
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        texts = [(k, "word " * (599 if k < 300 else 399)) for k in range(600)]
+        docs = spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1)
+        rows = packing.pack(docs, path, capacity=1024).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    bins = {}
+    for r in rows:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in bins.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(rows) == 600 and len(bins) <= 303
