@@ -1,8 +1,8 @@
 """Writers: FASTQ, tab-separated tables, SAM and BAM.
 
 Tables and FASTQ are folders of parts in order, gzipped on demand, written by all
-tasks.  ``one_file`` and the alignment writers make one file and stream rows through
-the driver, a partition at a time.
+tasks.  ``one_file`` and the alignment writers make one file of such parts: tasks write
+and pack them to the shared folder, and only finished bytes are put together.
 """
 
 from __future__ import annotations
@@ -10,15 +10,23 @@ from __future__ import annotations
 import contextlib
 import gzip
 import re
+import shutil
 import struct
 import sys
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import BASES, OPERATIONS
+from ..storage import fresh_dir
+from .files import BASES, OPERATIONS, open_fs
+
+#: Bytes of a BGZF block before it is packed.
+BLOCK = 60_000
 
 
 def fastq_lines(reads: DataFrame) -> DataFrame:
@@ -33,19 +41,54 @@ def write_tsv(table: DataFrame, path: str, header: bool = True, compress: bool =
     table.write.mode("overwrite").csv(path, sep="\t", header=header, quote="", escape="", emptyValue="", compression="gzip" if compress else "none")
 
 
+def _joined(spark: SparkSession, parts: str, path: str, head: bytes, tail: bytes = b"") -> None:
+    """One file of the files in a folder, in order of name, between ``head`` and ``tail``; ``-`` is standard output."""
+    fs, place = open_fs(parts)
+    names = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(place, allow_not_found=True)) if f.is_file and not f.base_name.startswith((".", "_")))
+    target = None if path == "-" else open_fs(path)
+    with contextlib.nullcontext(sys.stdout.buffer) if target is None else target[0].open_output_stream(target[1], compression=None) as out:
+        out.write(head)
+        for name in names:
+            with fs.open_input_stream(name) as f:
+                shutil.copyfileobj(f, out, 1 << 20)
+        out.write(tail)
+        out.flush()
+    if names:
+        fs.delete_dir(place)
+
+
 def one_file(lines: DataFrame, path: str, head: Iterable[str] = ()) -> None:
-    """The rows of a one-column table as lines of one file; .gz is gzipped, ``-`` is standard output."""
-    if path == "-":
-        opened = contextlib.nullcontext(sys.stdout)
-    elif path.lower().endswith(".gz"):
-        opened = gzip.open(path, "wt", compresslevel=3, encoding="latin-1", newline="")
-    else:
-        opened = open(path, "w", encoding="latin-1", newline="")
-    with opened as f:
-        for line in head:
-            f.write(line + "\n")
-        for row in lines.toLocalIterator():
-            f.write(row[0] + "\n")
+    """The rows of a one-column table as lines of one file; .gz is gzipped (a stream of
+    several members), ``-`` is standard output."""
+    packed, spark = path.lower().endswith(".gz"), lines.sparkSession
+    parts = fresh_dir(spark, "lines")
+    text = "".join(f"{line}\n" for line in head).encode("latin-1")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> Iterator[bytes]:
+            for batch in batches:
+                data = "".join(f"{v}\n" for v in batch.column(0).to_pylist()).encode("latin-1")
+                yield gzip.compress(data, 3) if packed else data
+
+        yield _part_file(parts, made())
+
+    lines.mapInArrow(write, "bytes bigint").collect()
+    _joined(spark, parts, path, gzip.compress(text, 3) if packed and text else text)
+
+
+def _part_file(folder: str, chunks: Iterator[bytes]) -> pa.RecordBatch:
+    """Writes a task's chunks to a file named by its partition; it appears whole, so a task that is run again does no harm."""
+    from pyspark import TaskContext
+
+    fs, place = open_fs(folder)
+    fs.create_dir(place, recursive=True)
+    target, size = f"{place}/part-{TaskContext.get().partitionId():08d}", 0
+    with fs.open_output_stream(own := f"{place}/.{uuid4().hex}") as f:
+        for chunk in chunks:
+            f.write(chunk)
+            size += len(chunk)
+    fs.move(own, target)
+    return pa.record_batch({"bytes": pa.array([size], pa.int64())})
 
 
 def tsv_lines(table: DataFrame) -> DataFrame:
@@ -111,15 +154,27 @@ def _block(data: bytes) -> bytes:
 
 def write_bam(alignments: DataFrame, path: str, header: str, contigs: list[tuple[str, int]]) -> None:
     text = header.encode("latin-1") + (b"\n" if header and not header.endswith("\n") else b"")
-    held = bytearray(b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(contigs)))
+    head = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(contigs))
     for name, size in contigs:
-        held += struct.pack("<i", len(name) + 1) + name.encode("latin-1") + b"\0" + struct.pack("<i", size)
-    with contextlib.nullcontext(sys.stdout.buffer) if path == "-" else open(path, "wb") as f:
-        for row in alignments.toLocalIterator():
-            held += bam_bytes(row)
-            while len(held) >= 60_000:
-                f.write(_block(bytes(held[:60_000])))
-                del held[:60_000]
-        if held:
-            f.write(_block(bytes(held)))
-        f.write(_block(b""))
+        head += struct.pack("<i", len(name) + 1) + name.encode("latin-1") + b"\0" + struct.pack("<i", size)
+    blocks = lambda data: b"".join(_block(data[k : k + BLOCK]) for k in range(0, len(data), BLOCK))
+    parts = fresh_dir(alignments.sparkSession, "bam")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> Iterator[bytes]:
+            held = bytearray()
+            for batch in batches:
+                for row in batch.to_pylist():
+                    row["tags"] = dict(row["tags"] or {})
+                    record = bam_bytes(row)
+                    # A record doesn't cross blocks unless it is longer than one.
+                    if held and len(held) + len(record) > BLOCK:
+                        yield blocks(bytes(held))
+                        held.clear()
+                    held += record
+            yield blocks(bytes(held))
+
+        yield _part_file(parts, made())
+
+    alignments.mapInArrow(write, "bytes bigint").collect()
+    _joined(alignments.sparkSession, parts, path, blocks(head), _block(b""))
