@@ -3,8 +3,10 @@
 A string pattern has N for the UMI, C for the cell barcode and X for bases that stay.
 A regular expression has groups named ``umi_*``, ``cell_*`` and ``discard_*``.  Both
 compile on the driver: string patterns, and expressions that are a sequence of fixed
-numbers of any character from the start, become substrings in generated code; other
-expressions run in an Arrow UDF.
+numbers of any character from the start, become substrings in generated code.
+Expressions that are a sequence of groups and single characters, each repeated or not,
+are matched once in the JVM, with every part numbered; only those with groups in
+groups, alternatives or escapes run in an Arrow UDF.
 """
 
 from __future__ import annotations
@@ -83,9 +85,9 @@ def exact_pattern(pattern: str) -> str:
         at = m.end()
         if not FUZZY.fullmatch(m.group()):
             raise PatternError(f"a bad substitution mark: {m.group()}")
+        if not out:
+            raise PatternError("a substitution mark has nothing before it")
         if int(m[1]):
-            if not out:
-                raise PatternError("a substitution mark has nothing before it")
             out = out[:-1] + "."
     return out + pattern[at:]
 
@@ -124,10 +126,63 @@ class Expression:
         return F.lit(False)
 
 
-TOKEN = re.compile(r"\(\?P<(\w+)>\.(?:\{(\d+)\})?\)|\.(?:\{(\d+)\})?")
+#: A character, a class or any character, repeated or not; a named group of such; the mark between matched parts.
+ATOM = r"(?:[A-Za-z0-9]|\.|\[\^?[A-Za-z0-9-]+\])(?:[*+?]\??|\{\d+(?:,\d*)?\}\??)?"
+PART = re.compile(rf"\(\?P<(\w+)>((?:{ATOM})*)\)(?![*+?{{])|((?:{ATOM})+)")
+BETWEEN = "\x01"
 
 
-def regex_pattern(pattern: str) -> Slices | Expression:
+@dataclass(frozen=True)
+class Parts:
+    """An expression that is a sequence of parts: their names (None: none) and one pattern in which each is a numbered group."""
+
+    names: tuple[str | None, ...]
+    pattern: str
+
+    def extract(self, seq: Column, qual: Column) -> Column:
+        # What isn't matched has no mark; the first and the last part are what stands around the match.
+        found = F.split(F.regexp_replace(seq, self.pattern, BETWEEN.join(f"${k + 1}" for k in range(len(self.names) + 2))), BETWEEN)
+
+        def made(p: Column) -> Column:
+            places, at = [], F.lit(0)
+            for k in range(len(self.names) + 2):
+                size = F.length(F.get(p, F.lit(k)))
+                places.append((at, size))
+                at = at + size
+            names = [None, *self.names, None]
+            taken = sorted((n, k) for k, n in enumerate(names) if n)
+            cut = lambda text, ks: F.concat(*[F.substring(text, places[k][0] + 1, places[k][1]) for k in ks]) if ks else F.lit("")
+            of = lambda kind: [k for n, k in taken if n.startswith(kind)]
+            rest = [k for k, n in enumerate(names) if not (n or "").startswith(("umi_", "cell_", "discard_"))]
+            return F.when(F.size(p) > 1, F.struct(cut(seq, of("umi_")).alias("umi"), cut(qual, of("umi_")).alias("umi_quality"), cut(seq, of("cell_")).alias("cell"), cut(seq, rest).alias("seq"), cut(qual, rest).alias("qual")))
+
+        # An array of one element: the match is made once.
+        return F.when(seq.isNotNull() & qual.isNotNull(), F.element_at(F.transform(F.array(found), made), 1))
+
+    def too_short(self, seq: Column) -> Column:
+        return F.lit(False)
+
+
+def _parts(exact: str) -> Parts | None:
+    """None where the expression isn't a plain sequence."""
+    body, at, names, pieces = exact.removeprefix("^"), 0, [], []
+    while at < len(body):
+        m = PART.match(body, at)
+        if not m:
+            return None
+        names.append(m[1])
+        pieces.append(f"({m[2] if m[1] else m[3]})")
+        at = m.end()
+    # The ends of the text may hold anything; (?d): a dot of the expression is any character but a newline.
+    ahead = "" if exact.startswith("^") else "[\\s\\S]*?"
+    return Parts(tuple(names), f"(?d)\\A({ahead}){''.join(pieces)}([\\s\\S]*)\\z")
+
+
+ANY = r"(?:\.(?:\{\d+\})?)"
+TOKEN = re.compile(rf"\(\?P<(\w+)>({ANY}+)\)|({ANY})")
+
+
+def regex_pattern(pattern: str) -> Slices | Parts | Expression:
     exact = exact_pattern(pattern)
     try:
         compiled = re.compile(exact)
@@ -138,13 +193,13 @@ def regex_pattern(pattern: str) -> Slices | Expression:
     if re.search(r"\(\?(?:[=!]|<[=!])|\\[1-9]|\(\?P=", exact):
         raise PatternError("look-around and back-references aren't supported")
     if not exact.startswith("^"):
-        return Expression(exact)
+        return _parts(exact) or Expression(exact)
     at, place, named, plain = 1, 0, {}, []
     while at < len(exact):
         m = TOKEN.match(exact, at)
         if not m:
-            return Expression(exact)
-        n = int(m[2] or m[3] or 1)
+            return _parts(exact) or Expression(exact)
+        n = sum(int(x or 1) for x in re.findall(r"\.(?:\{(\d+)\})?", m[2] or m[3]))
         taken = list(range(place, place + n))
         if m[1] and m[1].startswith(("umi_", "cell_", "discard_")):
             named[m[1]] = taken
@@ -156,7 +211,7 @@ def regex_pattern(pattern: str) -> Slices | Expression:
     return Slices(place, pick("umi_"), pick("cell_"), tuple(plain))
 
 
-def compile_pattern(pattern: str, method: str = "string", three_prime: bool = False) -> Slices | Expression:
+def compile_pattern(pattern: str, method: str = "string", three_prime: bool = False) -> Slices | Parts | Expression:
     if method not in ("string", "regex"):
         raise PatternError(f"an extraction method is string or regex: {method!r}")
     return string_pattern(pattern, three_prime) if method == "string" else regex_pattern(pattern)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..functions.patterns import Expression, Slices, compile_pattern
+from ..functions.patterns import Expression, Parts, Slices, compile_pattern
 
 OFFSETS = {"phred33": 33, "phred64": 64, "solexa": 59}
 OUT, SHORT, UNMATCHED, QUALITY, BLACKLISTED, UNLISTED, BOTH = "output", "too_short", "no_match", "quality_filtered", "blacklisted", "whitelist_filtered", "both_matched"
@@ -34,7 +34,7 @@ class ExtractOptions:
     quality_encoding: str = "phred33"
     strip_suffix: bool = False
 
-    def compiled(self, which: str = "pattern") -> Slices | Expression:
+    def compiled(self, which: str = "pattern") -> Slices | Parts | Expression:
         pattern = getattr(self, which)
         if pattern is None:
             raise ExtractError(f"this mode needs {which}")
@@ -51,7 +51,7 @@ def low_quality(quality: Column, options: ExtractOptions) -> Column:
     return F.coalesce(quality, F.lit("")).rlike(f"[\\x00-\\x{min(top, 255):02X}]")
 
 
-def _judged(found: Column, seq: Column, pattern: Slices | Expression, options: ExtractOptions) -> Column:
+def _judged(found: Column, seq: Column, pattern: Slices | Parts | Expression, options: ExtractOptions) -> Column:
     return F.when(pattern.too_short(seq), SHORT).when(found.isNull(), UNMATCHED).when(low_quality(found["umi_quality"], options), QUALITY).otherwise(OUT)
 
 
