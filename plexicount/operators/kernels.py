@@ -9,10 +9,11 @@ cluster       components of UMIs within the distance, led by the most frequent
 adjacency     in a component, the shortest prefix in order of frequency whose neighbourhoods cover it
 directional   a UMI absorbs neighbours of at most half its count plus one, and theirs
 
-``unique`` and ``percentile`` are window expressions.  The others run one array kernel
-for each group, several groups to an Arrow batch; groups of one UMI never leave the
-JVM.  A group of more than ``ARRAY_LIMIT`` UMIs is not collected: it goes through
-equi-joins on masked UMIs and label propagation instead, with the same results.
+``unique`` and ``percentile`` are expressions and an aggregation.  The others run one array
+kernel for each group, several groups to an Arrow batch; groups of one UMI never leave
+the JVM.  A group of more than ``ARRAY_LIMIT`` UMIs is not collected: sizes are aggregated
+first, and large groups go through equi-joins on masked UMIs and label propagation
+instead, with the same results.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import blocks, hamming, masks
-from ..storage import staged
+from ..storage import discard, staged
 
 METHODS = ("unique", "percentile", "cluster", "adjacency", "directional")
 ARRAY_LIMIT = 20_000
@@ -88,10 +89,10 @@ def cluster_group(umis: list[str], counts: list[int], firsts: list[int], method:
     return groups
 
 
-def _clusters(method: str, threshold: int):
-    kind = pa.list_(pa.struct([("umi", pa.string()), ("n", pa.int64()), ("first", pa.int64()), ("lead", pa.string()), ("lead_n", pa.int64()), ("rank", pa.int32())]))
+def clusters(method: str, threshold: int):
+    kind = pa.list_(pa.struct([("umi", pa.string()), ("n", pa.int64()), ("first", pa.int64()), ("lead", pa.string()), ("lead_n", pa.int64()), ("rank", pa.int64())]))
 
-    @F.arrow_udf("array<struct<umi:string,n:bigint,first:bigint,lead:string,lead_n:bigint,rank:int>>")
+    @F.arrow_udf("array<struct<umi:string,n:bigint,first:bigint,lead:string,lead_n:bigint,rank:bigint>>")
     def run(groups: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in groups:
             out = []
@@ -107,32 +108,35 @@ def _clusters(method: str, threshold: int):
     return run
 
 
-def umi_groups(obs: DataFrame, keys: list[str], method: str = "directional", threshold: int = 1, array_limit: int = ARRAY_LIMIT) -> DataFrame:
+def umi_groups(obs: DataFrame, keys: list[str], method: str = "directional", threshold: int = 1, array_limit: int = ARRAY_LIMIT, held: bool = False) -> DataFrame:
     """obs: keys, umi, n, first; one row for each UMI of a key.  Adds lead, lead_n (reads
-    of its whole group) and rank (order of the groups in their key)."""
+    of its whole group) and rank (which orders the groups of a key).  ``held``: obs is
+    a staged table already."""
     if method not in METHODS:
         raise ValueError(f"methods are {', '.join(METHODS)}")
     obs = obs.select(*keys, "umi", F.col("n").cast("long").alias("n"), F.col("first").cast("long").alias("first"))
-    group = Window.partitionBy(*keys)
     if method in ("unique", "percentile"):
         if method == "percentile":
-            obs = obs.withColumn("median_n", F.median("n").over(group)).where("100 * n > median_n").drop("median_n")
-        rank = F.row_number().over(group.orderBy("first")) - 1
-        return obs.select("*", F.col("umi").alias("lead"), F.col("n").alias("lead_n"), rank.cast("int").alias("rank"))
+            obs = obs if held else staged(obs, "observations")
+            # Equal counts combine before they move, so a key's median costs its distinct counts.
+            many = obs.groupBy(*keys, "n").agg(F.count("*").alias("many"))
+            medians = many.groupBy(*keys).agg(F.percentile("n", F.lit(0.5), F.col("many")).alias("median_n"))
+            a, b = obs.alias("a"), medians.alias("b")
+            obs = a.join(b, _equal(keys, "a", "b")).where("100 * a.n > b.median_n").select("a.*")
+        return obs.select("*", F.col("umi").alias("lead"), F.col("n").alias("lead_n"), F.col("first").alias("rank"))
     # Used by both routes, and once to see whether there is a second.
-    obs = staged(obs, "observations")
-    sized = obs.withColumn("group_size", F.count("*").over(group))
-    small = sized.where(F.col("group_size") <= array_limit)
-    one = F.transform("members", lambda m: F.struct(m.umi.alias("umi"), m.n.alias("n"), m["first"].alias("first"), m.umi.alias("lead"), m.n.alias("lead_n"), F.lit(0).alias("rank")))
+    obs = obs if held else staged(obs, "observations")
+    large = obs.groupBy(*keys).agg(F.count("*").alias("group_size")).where(F.col("group_size") > array_limit).select(*keys)
+    several = not large.isEmpty()
+    o, g = obs.alias("o"), large.alias("g")
+    small = o.join(g, _equal(keys, "o", "g"), "left_anti") if several else obs
+    one = F.transform("members", lambda m: F.struct(m.umi.alias("umi"), m.n.alias("n"), m["first"].alias("first"), m.umi.alias("lead"), m.n.alias("lead_n"), F.lit(0).cast("long").alias("rank")))
     collected = small.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("first", "umi", "n"))).alias("members"))
     single = collected.where(F.size("members") == 1).select(*keys, F.inline(one))
     kernel = F.transform("members", lambda m: F.struct(m.umi.alias("umi"), m.n.alias("n"), m["first"].alias("first")))
-    many = collected.where(F.size("members") > 1).select(*keys, _clusters(method, threshold)(kernel).alias("made")).select(*keys, F.inline("made"))
+    many = collected.where(F.size("members") > 1).select(*keys, clusters(method, threshold)(kernel).alias("made")).select(*keys, F.inline("made"))
     out = single.unionByName(many)
-    large = obs.groupBy(*keys).agg(F.count("*").alias("group_size")).where(F.col("group_size") > array_limit)
-    if not large.isEmpty():
-        out = out.unionByName(relational_groups(sized.where(F.col("group_size") > array_limit).drop("group_size"), keys, method, threshold))
-    return out
+    return out.unionByName(relational_groups(o.join(g, _equal(keys, "o", "g"), "left_semi"), keys, method, threshold)) if several else out
 
 
 def _equal(keys: list[str], a: str, b: str) -> Column:
@@ -157,7 +161,7 @@ def _least_ancestor(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> Data
     """nodes: keys, umi, n, first, seed (a struct that orders).  Each node's smallest seed
     over all nodes that reach it along edges a to b; each round is staged."""
     held = staged(edges.select(*keys, "a", "b"), "edges")
-    now = staged(nodes, "seeds")
+    now = before = staged(nodes, "seeds")
     while True:
         s, e = now.alias("s"), held.alias("e")
         told = s.join(e, _equal(keys, "s", "e") & (F.col("s.umi") == F.col("e.a"))).select(*[F.col(f"e.{k}").alias(k) for k in keys], F.col("e.b").alias("umi"), F.col("s.seed").alias("told"))
@@ -167,8 +171,10 @@ def _least_ancestor(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> Data
         stepped = stepped.select("n.*", F.col("t.told").alias("told")).withColumn("changed", F.coalesce(F.col("told") < F.col("seed"), F.lit(False)))
         now_ = stepped.withColumn("seed", F.least("seed", F.coalesce("told", "seed"))).drop("told")
         now_ = staged(now_, "seeds")
-        now = now_.drop("changed")
+        discard(before)
+        now, before = now_.drop("changed"), now_
         if now_.where("changed").isEmpty():
+            discard(held)
             return now
 
 
@@ -178,21 +184,27 @@ def relational_groups(nodes: DataFrame, keys: list[str], method: str, threshold:
     seeded = nodes.withColumn("seed", F.struct((-F.col("n")).alias("m"), F.col("first").alias("f"), F.col("umi").alias("u")))
     along = edges.where("n_a >= 2 * n_b - 1") if method == "directional" else edges
     placed = _least_ancestor(seeded, along, keys)
-    component = Window.partitionBy(*keys, "seed")
-    ranked = placed.withColumn("r", F.row_number().over(component.orderBy(F.col("n").desc(), "umi")))
+    # Within a component UMIs rank by count, then as text: an order, so no row needs a number.
+    ranked = placed.withColumn("r", F.struct((-F.col("n")).alias("m"), F.col("umi").alias("u")))
     if method == "adjacency":
         r1, e = ranked.alias("r"), edges.alias("e")
-        ranks = ranked.select(*keys, F.col("umi").alias("b"), F.col("r").alias("r_b")).alias("q")
-        near = e.join(ranks, _equal(keys, "e", "q") & (F.col("e.b") == F.col("q.b"))).groupBy(*[F.col(f"e.{k}").alias(k) for k in keys], F.col("e.a").alias("a")).agg(F.min("r_b").alias("near")).alias("w")
+        least = F.min(F.struct((-F.col("e.n_b")).alias("m"), F.col("e.b").alias("u"))).alias("near")
+        near = e.groupBy(*[F.col(f"e.{k}").alias(k) for k in keys], F.col("e.a").alias("a")).agg(least).alias("w")
         ranked = r1.join(near, _equal(keys, "r", "w") & (F.col("r.umi") == F.col("w.a")), "left").select("r.*", F.col("w.near").alias("near"))
-        ranked = ranked.withColumn("last", F.max(F.least("r", F.coalesce("near", "r"))).over(component))
-        ranked = ranked.withColumn("lead_r", F.when(F.col("r") <= F.col("last"), F.col("r")).otherwise(F.col("near")))
+        ranked = staged(ranked, "ranked")
+        x = ranked.alias("x")
+        bounds = ranked.groupBy(*keys, "seed").agg(F.max(F.least("r", F.coalesce("near", "r"))).alias("last")).alias("y")
+        told = x.join(bounds, _equal([*keys, "seed"], "x", "y")).select("x.*", F.when(F.col("x.r") <= F.col("y.last"), F.col("x.r")).otherwise(F.col("x.near")).alias("lead_r"))
     else:
-        ranked = ranked.withColumn("lead_r", F.lit(1))
-    led = Window.partitionBy(*keys, "seed", "lead_r")
-    out = ranked.withColumn("lead", F.min(F.struct("r", "umi")).over(led)["umi"]).withColumn("lead_n", F.sum("n").over(led))
-    # In adjacency the smallest rank of a leader's group is the leader's own.
-    return out.withColumn("rank", (F.dense_rank().over(Window.partitionBy(*keys).orderBy("seed", "lead_r")) - 1).cast("int")).select(*keys, "umi", "n", "first", "lead", "lead_n", "rank")
+        x = ranked.alias("x")
+        tops = ranked.groupBy(*keys, "seed").agg(F.min("r").alias("lead_r")).alias("y")
+        told = x.join(tops, _equal([*keys, "seed"], "x", "y")).select("x.*", "y.lead_r")
+    told = staged(told, "led")
+    t, s = told.alias("t"), told.groupBy(*keys, "lead_r").agg(F.sum("n").alias("lead_n")).alias("s")
+    out = t.join(s, _equal([*keys, "lead_r"], "t", "s")).select("t.*", F.col("t.lead_r.u").alias("lead"), "s.lead_n")
+    # Only annotation asks for the rank; elsewhere it is pruned.
+    rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy("seed", "lead_r")) - 1
+    return out.withColumn("rank", rank.cast("long")).select(*keys, "umi", "n", "first", "lead", "lead_n", "rank")
 
 
 def count_molecules(obs: DataFrame, keys: list[str], method: str = "directional", threshold: int = 1) -> DataFrame:

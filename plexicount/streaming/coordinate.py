@@ -1,74 +1,38 @@
 """Streams of alignments in coordinate order.
 
-The coordinate is the event time: a group closes once reads ``gap`` bases further on
-the same contig, or any read of another, have been seen.  State is held per
-contig, so contigs advance independently; a group that comes back after it closed is
-a new one, as it is in a batch of unsorted input by contig run.
+The coordinate is the event time, a millisecond for each base, contig after contig: a
+group closes once the stream has come ``gap`` bases further, or to another contig.  Reads
+of a UMI at a place are counted first, combined in the task, and the closed counts of a
+place meet in a second aggregation; both keep their state by place, so no key
+holds a contig.  What comes back after its group closed is late and left out, as the
+watermark says.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
 
-from ..operators.kernels import cluster_group
+from ..operators.kernels import clusters
 
 GAP = 1000
-CLOSED = "tid int, start bigint, is_reverse boolean, tlen_key bigint, umi string, n bigint, lead string, lead_n bigint"
-FIELDS = [c.split()[0] for c in CLOSED.split(", ")]
-
-
-def _closing(groups: dict, until: int | None, method: str, threshold: int, tid: int) -> list[tuple]:
-    """Takes the groups that start at most at ``until`` (all, if None) out of the state."""
-    rows = []
-    for key in sorted(k for k in groups if until is None or k[0] <= until):
-        held = groups.pop(key)
-        umis = list(held)
-        counts, firsts = [held[u][0] for u in umis], [held[u][1] for u in umis]
-        for members in cluster_group(umis, counts, firsts, method, threshold):
-            total = sum(counts[m] for m in members)
-            rows += [(tid, *key, umis[m], counts[m], umis[members[0]], total) for m in members]
-    return rows
+#: Bases, hence milliseconds, from the beginning of a contig to that of the next.
+CONTIG = 1 << 32
+KEYS = ["tid", "start", "is_reverse", "tlen_key"]
 
 
 def group_stream(reads: DataFrame, method: str = "directional", threshold: int = 1, gap: int = GAP) -> DataFrame:
     """reads: a stream with tid, start, is_reverse, tlen_key, umi, ordinal.  Rows of closed
-    groups; end each contig with a read of a null umi to close what is left of it."""
-
-    def advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        groups: dict = {}
-        last = None
-        if state.exists:
-            last, starts, reverse, tlens, umis, counts, firsts = state.get
-            for s, r, t, u, n, f in zip(starts, reverse, tlens, umis, counts, firsts):
-                groups.setdefault((s, r, t), {})[u] = [n, f]
-        rows, ended = [], False
-        for row in pd.concat(list(frames)).sort_values("ordinal").itertuples():
-            if row.umi is None:
-                ended = True
-                continue
-            start = int(row.start)
-            if last is not None and start > last + gap:
-                rows += _closing(groups, start - gap, method, threshold, int(key[0]))
-            last = start
-            slot = groups.setdefault((start, bool(row.is_reverse), int(row.tlen_key)), {}).setdefault(row.umi, [0, int(row.ordinal)])
-            slot[0] += 1
-        if ended:
-            rows += _closing(groups, None, method, threshold, int(key[0]))
-        flat = [(*k, u, n, f) for k, held in groups.items() for u, (n, f) in held.items()]
-        columns = [list(c) for c in zip(*flat)] or [[] for _ in range(6)]
-        state.update((last, *columns))
-        yield pd.DataFrame(rows, columns=FIELDS)
-
-    held = "last bigint, starts array<bigint>, reverse array<boolean>, tlens array<bigint>, umis array<string>, counts array<bigint>, firsts array<bigint>"
-    return reads.groupBy("tid").applyInPandasWithState(advance, CLOSED, held, "append", GroupStateTimeout.NoTimeout)
+    groups: keys, umi, n, lead, lead_n.  A read of a null umi only moves the coordinate
+    on: one behind the last closes what is left."""
+    timed = reads.withColumn("at", F.timestamp_millis((F.col("tid").cast("long") + 1) * CONTIG + F.col("start"))).withWatermark("at", f"{gap} milliseconds")
+    # No filter, which would be moved to before the watermark is taken: null umis fall out where lists are made.
+    counted = timed.groupBy("at", *KEYS, "umi").agg(F.count("*").alias("n"), F.min("ordinal").alias("first"))
+    places = counted.groupBy("at", *KEYS).agg(F.sort_array(F.collect_list(F.when(F.col("umi").isNotNull(), F.struct("first", "umi", "n")))).alias("members"))
+    kernel = F.transform("members", lambda m: F.struct(m.umi.alias("umi"), m.n.alias("n"), m["first"].alias("first")))
+    return places.select(*KEYS, clusters(method, threshold)(kernel).alias("made")).select(*KEYS, F.inline("made")).select(*KEYS, "umi", "n", "lead", "lead_n")
 
 
 def windowed_counts(reads: DataFrame, time: str, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Distinct UMIs seen per contig in windows of event time, with a watermark."""
-    from pyspark.sql import functions as F
-
     return reads.withWatermark(time, late).groupBy(F.window(time, window), "contig").agg(F.approx_count_distinct("umi", 0.01).alias("umis"), F.count("*").alias("reads"))
