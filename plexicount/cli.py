@@ -22,6 +22,7 @@ from .operators import whitelist as listing
 from .operators.alignments import KeyOptions, key_columns, keyed
 from .operators.kernels import METHODS, umi_groups
 from .sources import files, lists, sinks
+from .storage import staged
 
 
 def parser() -> argparse.ArgumentParser:
@@ -145,8 +146,10 @@ def run_extract(spark: SparkSession, a: argparse.Namespace) -> None:
         done = extraction.extract(first, options)
         _fastq(extraction.kept(done), a.stdout)
         return _say("extract", extraction.counters(done))
-    second = files.read(spark, "fastq", a.read2_in)
-    pairs = extraction.reconcile_pairs(first, second, a.ignore_read_pair_suffixes) if a.reconcile_pairs else extraction.zip_pairs(first, second)
+    if a.reconcile_pairs:
+        pairs = extraction.reconcile_pairs(first, files.read(spark, "fastq", a.read2_in), a.ignore_read_pair_suffixes)
+    else:
+        pairs = files.read_pairs(spark, a.stdin, a.read2_in)
     if a.read2_stdout and not a.either_read:
         white = lists.whitelist(spark, a.whitelist) if a.whitelist else None
         fixes = lists.whitelist_corrections(spark, a.whitelist) if a.whitelist and a.error_correct_cell else None
@@ -208,19 +211,22 @@ def run_dedup(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.filter_umi:
         white = lists.umi_list(spark, a.umi_whitelist)
         white = deduping.whitelist_product(white, lists.umi_list(spark, a.umi_whitelist_paired)) if a.umi_whitelist_paired else white
-    _write(deduping.coordinate_order(deduping.dedup(alignments, options, white)), a, header, contigs)
+    obs = staged(deduping.observations(alignments, options), "observations")
+    _write(deduping.coordinate_order(deduping.dedup(alignments, options, white, obs)), a, header, contigs)
     if a.output_stats:
-        write_stats(alignments, options, a.output_stats)
-    _say("dedup", deduping.summary(alignments, options))
+        write_stats(alignments, options, a.output_stats, obs)
+    _say("dedup", deduping.summary(alignments, options, obs))
 
 
-def write_stats(alignments: DataFrame, options: deduping.DedupOptions, prefix: str) -> None:
+def write_stats(alignments: DataFrame, options: deduping.DedupOptions, prefix: str, obs: DataFrame) -> None:
     keys = key_columns(options.keys)
-    obs = deduping.observations(alignments, options)
-    post = stats.totals(umi_groups(obs, keys, options.method, options.threshold), keys, options.method, options.threshold).cache()
-    drawn = null_model.umi_frequencies(keyed(alignments, options.keys))
-    sizes = lambda df, salt: df.groupBy(*keys).agg(F.count("*").alias("size")).select("size", F.xxhash64(F.lit(salt), *keys).alias("group_id"))
-    nulls = tuple(null_model.null_distances(sizes(df, salt), drawn, options.keys.seed) for df, salt in ((obs, 0), (post, 1)))
+    post = staged(stats.totals(umi_groups(obs, keys, options.method, options.threshold, held=True), keys, options.method, options.threshold), "leads")
+    drawn = staged(null_model.umi_frequencies(null_model.drawn_from(alignments, options.keys)), "frequencies")
+    if options.exact:
+        nulls = null_model.exact_nulls(obs, post, drawn, keys, options.keys.seed)
+    else:
+        sizes = lambda df, salt: df.groupBy(*keys).agg(F.count("*").alias("size")).select("size", F.xxhash64(F.lit(salt), *keys).alias("group_id"))
+        nulls = tuple(null_model.null_distances(sizes(df, salt), drawn, options.keys.seed) for df, salt in ((obs, 0), (post, 1)))
     distances = stats.edit_distance(obs, post, keys, nulls).orderBy("bin")
     m = options.method
     tables = {
@@ -236,10 +242,10 @@ def run_count(spark: SparkSession, a: argparse.Namespace) -> None:
     alignments = files.read(spark, "alignments", a.stdin)
     options = KeyOptions(umi_from="umis", per_gene=True, gene_tag=a.gene_tag, skip_tags=a.skip_tags_regex)
     if a.per_cell and a.wide_format_cell_counts:
-        table = counting.wide(alignments, options, a.method, a.edit_distance_threshold).orderBy("gene")
-    else:
-        table = counting.count(alignments, options, a.per_cell, a.method, a.edit_distance_threshold)
-        table = table.orderBy("gene", "cell") if a.per_cell else table.orderBy("gene")
+        cells, lines = counting.wide_lines(alignments, options, a.method, a.edit_distance_threshold)
+        return sinks.one_file(lines.orderBy("gene").select("value"), a.stdout, ["\t".join(["gene", *cells])])
+    table = counting.count(alignments, options, a.per_cell, a.method, a.edit_distance_threshold)
+    table = table.orderBy("gene", "cell") if a.per_cell else table.orderBy("gene")
     sinks.one_file(sinks.tsv_lines(table), a.stdout, ["\t".join(table.columns)])
 
 

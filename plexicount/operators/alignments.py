@@ -41,6 +41,7 @@ class KeyOptions:
     per_gene: bool = False
     gene_tag: str = "XF"
     skip_tags: str | None = None
+    per_contig: bool = False
 
 
 def umi_of(options: KeyOptions) -> Column:
@@ -56,8 +57,8 @@ def umi_of(options: KeyOptions) -> Column:
 
 
 def gene_of(options: KeyOptions) -> Column:
-    """The gene; null where the tag is missing, not text, or to be skipped."""
-    gene = names.tag(F.col("tags"), options.gene_tag)
+    """The gene, or the contig in its place; null where the tag is missing, not text, or to be skipped."""
+    gene = F.col("contig") if options.per_contig else names.tag(F.col("tags"), options.gene_tag)
     if options.skip_tags is None:
         return gene
     try:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..storage import staged
 from .alignments import PAIRED, SECOND, UNMAPPED, KeyOptions, flag, gene_of
 from .kernels import count_molecules
 
@@ -34,6 +35,22 @@ def wide(alignments: DataFrame, options: KeyOptions | None = None, method: str =
     return pivoted.select("gene", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long").alias(c) for c in cells])
 
 
+def wide_lines(alignments: DataFrame, options: KeyOptions | None = None, method: str = "directional", threshold: int = 1) -> tuple[list[str], DataFrame]:
+    """The cells in order, and the rows of ``wide`` as tab-separated lines (gene, value).
+
+    A line is put together from the gene's own counts and the gaps between them, so the
+    plan doesn't grow with the cells and a row costs what was counted for its gene."""
+    obs = staged(gene_observations(alignments, options, per_cell=True), "gene-observations")
+    counted = count_molecules(obs, ["gene", "cell"], method, threshold)
+    cells = [r["cell"] for r in obs.select("cell").where("cell IS NOT NULL").distinct().orderBy("cell").collect()]
+    places = obs.sparkSession.createDataFrame(list(enumerate(cells)), "at int, cell string")
+    told = counted.join(places, "cell", "left").groupBy("gene").agg(F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "count")))).alias("held"))
+    zeros = lambda n: F.repeat(F.lit("\t0"), n.cast("int"))
+    piece = lambda x, k: F.concat(zeros(x["at"] - F.coalesce(F.get("held", k - 1)["at"], F.lit(-1)) - 1), F.lit("\t"), x["count"].cast("string"))
+    end = zeros(F.lit(len(cells) - 1) - F.coalesce(F.get("held", F.size("held") - 1)["at"], F.lit(-1)))
+    return cells, told.select("gene", F.concat("gene", F.array_join(F.transform("held", piece), ""), end).alias("value"))
+
+
 def tab_observations(lines: DataFrame, separator: str = "_", per_cell: bool = False) -> DataFrame:
     """run, gene, cell, umi, n, first of a two-column table.  A run is a stretch of rows of
     one gene; a gene that comes back makes a new one.

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import staged
 from .alignments import MATE_UNMAPPED, SECOND, UNMAPPED, AlignmentError, KeyOptions, best_reads, best_reads_exact, flag, key_columns, keyed
 from .kernels import umi_groups
 
@@ -30,12 +31,14 @@ def observations(alignments: DataFrame, options: DedupOptions) -> DataFrame:
     return best_reads_exact(keyed(alignments, whole, keep_null=True), keys, options.keys)
 
 
-def leads(alignments: DataFrame, options: DedupOptions, umi_whitelist: DataFrame | None = None) -> DataFrame:
+def leads(alignments: DataFrame, options: DedupOptions, umi_whitelist: DataFrame | None = None, obs: DataFrame | None = None) -> DataFrame:
     """keys, umi, n, first, best, lead_n of the leading UMIs.  A whitelist (``umi``) is met
-    by the lead alone, so a lead that isn't on it takes its whole group with it."""
+    by the lead alone, so a lead that isn't on it takes its whole group with it.
+
+    ``obs``: the staged observations, where they have been made already."""
     keys = key_columns(options.keys)
-    obs = observations(alignments, options)
-    led = umi_groups(obs, keys, options.method, options.threshold).where(F.col("umi") == F.col("lead")).drop("n", "first", "lead")
+    obs = staged(observations(alignments, options), "observations") if obs is None else obs
+    led = umi_groups(obs, keys, options.method, options.threshold, held=True).where(F.col("umi") == F.col("lead")).drop("n", "first", "lead", "rank")
     out = obs.join(led, [*keys, "umi"])
     return out if umi_whitelist is None else out.join(umi_whitelist.select("umi").distinct(), "umi", "left_semi")
 
@@ -49,11 +52,11 @@ def mates(alignments: DataFrame, selected: DataFrame) -> DataFrame:
     return met.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
 
 
-def dedup(alignments: DataFrame, options: DedupOptions, umi_whitelist: DataFrame | None = None) -> DataFrame:
+def dedup(alignments: DataFrame, options: DedupOptions, umi_whitelist: DataFrame | None = None, obs: DataFrame | None = None) -> DataFrame:
     """The reads that stay, with all their columns; in paired mode, with their mates.
 
     Sort by ``coordinate_order`` to write them."""
-    chosen = leads(alignments, options, umi_whitelist).select(F.col("best").alias("ordinal"))
+    chosen = leads(alignments, options, umi_whitelist, obs).select(F.col("best").alias("ordinal"))
     selected = alignments.join(chosen, "ordinal", "left_semi")
     return selected.unionByName(mates(alignments, selected)) if options.keys.paired else selected
 
@@ -72,11 +75,11 @@ def whitelist_product(first: DataFrame, second: DataFrame, limit: int = PRODUCT_
     return first.select(F.col("umi").alias("a")).crossJoin(second.select(F.col("umi").alias("b"))).select(F.concat("a", "b").alias("umi"))
 
 
-def summary(alignments: DataFrame, options: DedupOptions) -> DataFrame:
+def summary(alignments: DataFrame, options: DedupOptions, obs: DataFrame | None = None) -> DataFrame:
     """input_reads, output_reads, positions: one row."""
     keys = key_columns(options.keys)
-    obs = observations(alignments, options)
-    led = umi_groups(obs, keys, options.method, options.threshold)
+    obs = staged(observations(alignments, options), "observations") if obs is None else obs
+    led = umi_groups(obs, keys, options.method, options.threshold, held=True)
     totals = obs.agg(F.sum("n").alias("input_reads"))
     places = led.where(F.col("umi") == F.col("lead")).groupBy(*keys).agg(F.count("*").alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0)).alias("output_reads"), F.count("*").alias("positions"))
     return totals.crossJoin(places)

@@ -7,35 +7,43 @@ distinct counts, not of barcodes or reads.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 
 
-def max_distance_index(values: np.ndarray) -> int:
-    """The first point farthest from the chord between the ends."""
-    n = len(values)
-    if n <= 1:
-        return 0
-    x, y = np.arange(n, dtype=float), values - values[0]
-    length = np.hypot(x[-1], y[-1])
-    if length == 0:
-        return 0
-    ux, uy = x[-1] / length, y[-1] / length
-    along = x * ux + y * uy
-    far = np.hypot(x - along * ux, y - along * uy)
-    best = int(far.argmax())
-    return best if far[best] > 0 else 0
+def farthest(xs: list[int], ys: list[int]) -> int:
+    """The first point farthest from the chord between the ends; whole numbers, so ties are exact."""
+    width, height = xs[-1] - xs[0], ys[-1] - ys[0]
+    best, at = 0, xs[0]
+    for x, y in zip(xs, ys):
+        far = abs((x - xs[0]) * height - (y - ys[0]) * width)
+        if far > best:
+            best, at = far, x
+    return at
+
+
+def distance_knee(values: np.ndarray, many: np.ndarray) -> int:
+    """values: distinct counts, descending; many: how many barcodes have each.  Rank (from
+    0) of the last barcode to keep: the knee of the summed counts, sought again in the
+    first three times as many points until it stays.
+
+    Between two distinct counts the curve is straight, so its farthest point is a corner."""
+    ends, sums = [int(x) for x in np.cumsum(many)], [int(x) for x in np.cumsum(values * many)]
 
+    def first(n: int) -> int:
+        """The knee of the first n points."""
+        k = bisect_left(ends, n)
+        last = sums[k] - (ends[k] - n) * int(values[k])
+        corners = [(0, int(values[0])), *[(e - 1, s) for e, s in zip(ends[:k], sums) if e > 1], (n - 1, last)]
+        return farthest(*map(list, zip(*corners)))
 
-def distance_knee(counts_desc: np.ndarray) -> int:
-    """Rank (from 0) of the last barcode to keep: the knee, sought again in the first
-    three times as many points until it stays."""
-    curve = np.cumsum(counts_desc.astype(float))
-    knee, before = max_distance_index(curve), 0
+    knee, before = first(ends[-1]), 0
     for _ in range(100):
         if knee == before:
             break
         before = knee
-        knee = max_distance_index(curve[: min(3 * knee, len(curve))])
+        knee = first(min(3 * knee, ends[-1]))
     return knee
 
 

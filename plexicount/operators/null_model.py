@@ -7,13 +7,13 @@ table of distinct UMIs and the group sizes go there, which suits comparisons of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .alignments import SECOND, UNMAPPED, KeyOptions, flag, on_contig, umi_of
+from .stats import mean_distances
+
 FILL = 100_000
 
 
@@ -68,6 +68,21 @@ def exact_null_distances(frequencies: DataFrame, sizes: list[int], seed: int = 0
     return [mean_distance(sampler.take(n)) for n in sizes]
 
 
+def drawn_from(alignments: DataFrame, options: KeyOptions) -> DataFrame:
+    """The reads whose UMIs are drawn: mapped, not second, on the contig asked for; no subset, whatever their gene."""
+    reads = on_contig(alignments.where(~flag(UNMAPPED) & ~flag(SECOND)), options.chrom)
+    return reads.withColumn("umi", umi_of(options)).where("umi IS NOT NULL")
+
+
+def exact_nulls(obs: DataFrame, post: DataFrame, frequencies: DataFrame, keys: list[str], seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """For the groups before and after, in order of their keys, distances drawn in turn from one stream."""
+    count = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    sizes = count(obs, "before").join(count(post, "after"), keys, "left").orderBy(*keys).select("before", F.coalesce("after", F.lit(0)).alias("after")).collect()
+    flat = exact_null_distances(frequencies, [n for r in sizes for n in (r["before"], r["after"])], seed) if sizes else []
+    made = lambda some: obs.sparkSession.createDataFrame([(x,) for x in some], "distance double")
+    return made(flat[::2]), made(flat[1::2])
+
+
 def null_distances(groups: DataFrame, frequencies: DataFrame, seed: int = 0) -> DataFrame:
     """groups: one row per group with ``size`` and ``group_id``.  distance: of as many UMIs drawn.
 
@@ -82,11 +97,4 @@ def null_distances(groups: DataFrame, frequencies: DataFrame, seed: int = 0) ->
     draws = groups.select("group_id", F.explode(F.sequence(F.lit(1), F.col("size").cast("int"))).alias("k"))
     draws = draws.withColumn("x", F.pmod(F.xxhash64(F.lit(seed), "group_id", "k"), F.lit(max(total, 1)))).withColumn("cell", F.floor(F.col("x") / width))
     met = draws.join(spread, "cell").where("x >= a AND x < z")
-    collected = met.groupBy("group_id").agg(F.collect_list("umi").alias("umis"))
-
-    @F.arrow_udf("double")
-    def distance(groups: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in groups:
-            yield pa.array([mean_distance(u) for u in batch.to_pylist()], pa.float64())
-
-    return collected.select("group_id", distance("umis").alias("distance"))
+    return mean_distances(met.select("group_id", "umi"), ["group_id"])

@@ -5,11 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distance import blocks, hamming, masks, prefix_edit_distance
 from ..functions.patterns import compile_pattern
+from ..sources.files import FILE_SPAN
+from ..storage import staged
 from .knee import density_threshold, distance_knee
 
 
@@ -25,20 +27,57 @@ class WhitelistOptions:
     expect_cells: int | None = None
     threshold: int = 1
     above: str | None = None
-    subset_reads: int = 100_000_000
+    subset_reads: int | None = 100_000_000
+
+
+def _within(sizes: dict[int, int], limit: int) -> Column | None:
+    """What keeps the first ``limit`` reads of files in order, by the files' sizes; None if that is all."""
+    if sum(sizes.values()) <= limit:
+        return None
+    before, keep = 0, F.lit(False)
+    for number in sorted(sizes):
+        if before >= limit:
+            break
+        keep = keep | ((_file() == number) & (F.pmod("ordinal", F.lit(FILE_SPAN)) < limit - before))
+        before += sizes[number]
+    return keep
+
+
+def _file() -> Column:
+    return F.floor(F.col("ordinal") / FILE_SPAN)
+
+
+def first_reads(reads: DataFrame, limit: int | None) -> DataFrame:
+    """The first ``limit`` reads over all files: whole files in order, then a part of one."""
+    if limit is None:
+        return reads
+    sizes = {r["file"]: r["n"] for r in reads.groupBy(_file().alias("file")).agg(F.count("*").alias("n")).collect()}
+    keep = _within(sizes, limit)
+    return reads if keep is None else reads.where(keep)
 
 
 def barcode_counts(reads: DataFrame, options: WhitelistOptions) -> DataFrame:
-    """cell, n, first; of the first ``subset_reads`` reads."""
+    """cell, n, first; of the first ``subset_reads`` reads over all files.
+
+    The pass over the reads also counts them by file; only where there are more reads than
+    the limit a second pass leaves out what is beyond it."""
     found = compile_pattern(options.pattern, options.method, options.three_prime).extract(F.col("seq"), F.col("qual"))
-    cells = reads.where(F.col("ordinal") < options.subset_reads).select("ordinal", found["cell"].alias("cell")).where("cell <> ''")
-    return cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("ordinal").alias("first"))
+
+    def counted(some: DataFrame) -> DataFrame:
+        cells = some.select("ordinal", F.coalesce(found["cell"], F.lit("")).alias("cell"))
+        return staged(cells.groupBy("cell", _file().alias("file")).agg(F.count("*").alias("n"), F.min("ordinal").alias("first")), "barcodes")
+
+    made = counted(reads)
+    if options.subset_reads is not None:
+        keep = _within({r["file"]: r["n"] for r in made.groupBy("file").agg(F.sum("n").alias("n")).collect()}, options.subset_reads)
+        made = made if keep is None else counted(reads.where(keep))
+    return made.where("cell <> ''").groupBy("cell").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
 def unmatched(reads: DataFrame, options: WhitelistOptions) -> DataFrame:
     """The reads without a barcode, as they were."""
     found = compile_pattern(options.pattern, options.method, options.three_prime).extract(F.col("seq"), F.col("qual"))
-    return reads.where(F.col("ordinal") < options.subset_reads).withColumn("found", found).where("found IS NULL").drop("found")
+    return first_reads(reads, options.subset_reads).withColumn("found", found).where("found IS NULL").drop("found")
 
 
 def choose(counts: DataFrame, options: WhitelistOptions) -> DataFrame:
@@ -55,7 +94,7 @@ def choose(counts: DataFrame, options: WhitelistOptions) -> DataFrame:
         return counts.limit(0) if threshold is None else counts.where(F.col("n") > float(threshold))
     if options.knee != "distance":
         raise ValueError("a knee is found by distance or density")
-    last = distance_knee(np.repeat(values, many))
+    last = distance_knee(values, many)
     # Whole counts above the knee's, and as many of its own count as are left.
     above = int(many[values > values[np.searchsorted(np.cumsum(many), last, "right")]].sum())
     cut = int(values[np.searchsorted(np.cumsum(many), last, "right")])

@@ -60,7 +60,7 @@ def _groups_sql(method: str, source: str, keys: list[str]) -> str:
     k = ", ".join(keys)
     on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in keys)
     pre = lambda a: ", ".join(f"{a}.{c}" for c in keys)
-    obs = f"{source}, obs AS (SELECT {k}, umi, count(*) AS n, min(ordinal) AS first FROM reads GROUP BY {k}, umi)"
+    obs = f"{source}, obs AS MATERIALIZED (SELECT {k}, umi, count(*) AS n, min(ordinal) AS first FROM reads GROUP BY {k}, umi)"
     if method == "unique":
         return f"{obs}, led AS (SELECT *, umi AS lead, n AS lead_n FROM obs)"
     if method == "percentile":
@@ -69,17 +69,17 @@ def _groups_sql(method: str, source: str, keys: list[str]) -> str:
     seed = "s.n DESC, s.first" if method == "directional" else "s.n DESC, s.umi"
     near = f"near AS (SELECT {pre('e')}, e.a AS umi, min(r.r) AS near FROM edges e JOIN ranked r ON {on('e', 'r')} AND e.b = r.umi GROUP BY ALL)"
     chain = f"""{obs},
-edges AS (SELECT {pre('a')}, a.umi AS a, b.umi AS b FROM obs a JOIN obs b ON {on('a', 'b')} AND a.umi <> b.umi AND length(a.umi) = length(b.umi) AND hamming(a.umi, b.umi) <= 1 AND {edge}),
+edges AS MATERIALIZED (SELECT {pre('a')}, a.umi AS a, b.umi AS b FROM obs a JOIN obs b ON {on('a', 'b')} AND a.umi <> b.umi AND length(a.umi) = length(b.umi) AND hamming(a.umi, b.umi) <= 1 AND {edge}),
 reach AS (SELECT {k}, umi AS a, umi AS b FROM obs UNION SELECT {pre('r')}, r.a, e.b FROM reach r JOIN edges e ON {on('r', 'e')} AND r.b = e.a),
 seeded AS (SELECT s.*, row_number() OVER (PARTITION BY {k} ORDER BY {seed}) AS seed_rank FROM obs s),
-placed AS (SELECT {pre('r')}, r.b AS umi, min(s.seed_rank) AS c FROM reach r JOIN seeded s ON {on('r', 's')} AND r.a = s.umi GROUP BY ALL),
-ranked AS (SELECT o.*, p.c, row_number() OVER (PARTITION BY {pre('o')}, p.c ORDER BY o.n DESC, o.umi) AS r FROM obs o JOIN placed p ON {on('o', 'p')} AND o.umi = p.umi)"""
+placed AS MATERIALIZED (SELECT {pre('r')}, r.b AS umi, min(s.seed_rank) AS c FROM reach r JOIN seeded s ON {on('r', 's')} AND r.a = s.umi GROUP BY ALL),
+ranked AS MATERIALIZED (SELECT o.*, p.c, row_number() OVER (PARTITION BY {pre('o')}, p.c ORDER BY o.n DESC, o.umi) AS r FROM obs o JOIN placed p ON {on('o', 'p')} AND o.umi = p.umi)"""
     if method == "adjacency":
         chain += f""", {near},
 bound AS (SELECT ranked.*, near.near, max(least(ranked.r, coalesce(near.near, ranked.r))) OVER (PARTITION BY {pre('ranked')}, ranked.c) AS last FROM ranked LEFT JOIN near ON {on('ranked', 'near')} AND ranked.umi = near.umi),
-told AS (SELECT *, CASE WHEN r <= last THEN r ELSE near END AS lead_r FROM bound)"""
+told AS MATERIALIZED (SELECT *, CASE WHEN r <= last THEN r ELSE near END AS lead_r FROM bound)"""
     else:
-        chain += ", told AS (SELECT *, 1 AS lead_r FROM ranked)"
+        chain += ", told AS MATERIALIZED (SELECT *, 1 AS lead_r FROM ranked)"
     return chain + f""",
 led AS (SELECT {pre('t')}, t.umi, t.n, t.first, l.umi AS lead, sum(t.n) OVER (PARTITION BY {pre('t')}, t.c, t.lead_r)::BIGINT AS lead_n FROM told t JOIN told l ON {on('t', 'l')} AND t.c = l.c AND t.lead_r = l.r)"""
 
@@ -316,9 +316,22 @@ def group_unmapped_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("ordinal", F.col("unique_id").isNotNull().alias("grouped"))
 
 
-@query("group_per_gene", f"WITH {fx.DUCK_ALIGNMENTS}, runs AS (SELECT *, sum(cut) OVER (ORDER BY ordinal) - 1 AS run FROM (SELECT *, CASE WHEN tid = lag(tid) OVER (ORDER BY ordinal) THEN 0 ELSE 1 END AS cut FROM al WHERE (flag & 4) = 0 AND gene <> '__skip')) SELECT ordinal, umi, gene, count(*) OVER (PARTITION BY run, gene, umi) AS umi_count FROM runs")
+_RUNS = "runs AS (SELECT *, sum(cut) OVER (ORDER BY ordinal) - 1 AS run FROM (SELECT *, CASE WHEN tid = lag(tid) OVER (ORDER BY ordinal) THEN 0 ELSE 1 END AS cut FROM al WHERE (flag & 4) = 0 AND {where}))"
+_SKIPPED, _NOT_ERROR = "gene <> '__skip'", "contig <> 'error'"
+
+
+@query("group_per_gene", f"WITH {fx.DUCK_ALIGNMENTS}, {_RUNS.format(where=_SKIPPED)} SELECT ordinal, umi, gene, count(*) OVER (PARTITION BY run, gene, umi) AS umi_count FROM runs")
 def group_per_gene(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = grouping.group(fx.alignments(spark, sf_dir).where("flag & 4 = 0"), grouping.GroupOptions("unique", keys=_GENES, per_contig=True))
+    grouped = grouping.group(fx.alignments(spark, sf_dir), grouping.GroupOptions("unique", keys=_GENES))
+    return grouped.select("ordinal", "umi", "gene", "umi_count")
+
+
+@query("group_per_contig", f"WITH {fx.DUCK_ALIGNMENTS}, {_RUNS.format(where=_NOT_ERROR)} SELECT ordinal, umi, contig AS gene, count(*) OVER (PARTITION BY run, contig, umi) AS umi_count FROM runs")
+def group_per_contig(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contig is the gene: tags differ from it here or are missing, and don't count."""
+    tags = F.when(F.col("ordinal") % 3 == 0, F.map_filter("tags", lambda k, _: k != "XF")).otherwise(F.map_concat(F.map_filter("tags", lambda k, _: k != "XF"), F.create_map(F.lit("XF"), F.struct(F.lit("Z").alias("type"), F.lit("other").alias("value")))))
+    al = fx.alignments(spark, sf_dir).withColumn("tags", tags)
+    grouped = grouping.group(al, grouping.GroupOptions("unique", keys=KeyOptions(umi_from="umis", per_gene=True, skip_tags="^error$"), per_contig=True))
     return grouped.select("ordinal", "umi", "gene", "umi_count")
 
 
@@ -414,11 +427,6 @@ def whitelist_near_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.near_misses(listing.barcode_counts(fx.barcode_reads(spark, sf_dir), listing.WhitelistOptions(_BC)))
 
 
-@query("whitelist_density")
-def whitelist_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing.whitelist_table(listing.whitelist(fx.barcode_reads(spark, sf_dir), listing.WhitelistOptions(_BC, knee="density", above="correct")))
-
-
 # -------------------------------------------------------------- statistics
 
 _STATS = _with(_groups_sql("directional", fx.DUCK_READS, KEYS)) + ", post AS (SELECT contig, pos, is_reverse, umi, lead_n AS n FROM led WHERE umi = lead)"

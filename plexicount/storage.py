@@ -21,10 +21,19 @@ def _own_dir(pid: int) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where that is unset, one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_dir(os.getpid())
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
+    """``spark.checkpoint.dir`` of the session, else the folder given to ``setCheckpointDir``.
+    Where neither is set a session on one machine gets its own; a cluster has to name one."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    given = context._jsc.sc().getCheckpointDir()
+    if not found and given.isDefined():
+        return given.get().rstrip("/")
+    if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _own_dir(os.getpid())
+    if given.isEmpty():
+        context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -38,4 +47,16 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     the loss of any executor and is never computed twice."""
     path = fresh_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes staged tables that nothing reads any more, such as the rounds of a loop."""
+    for df in tables:
+        path = getattr(df, "_staged_at", None)
+        if path:
+            jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)

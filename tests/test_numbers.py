@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -5,33 +6,57 @@ import pytest
 from pyspark.sql import functions as F
 
 from plexicount.functions.cigar import group_position
-from plexicount.functions.distance import hamming, packed, packed_hamming, prefix_edit_distance
+from plexicount.functions.distance import FAR, hamming, packed, packed_hamming, prefix_edit_distance
 from plexicount.operators import knee, null_model, stats
 
 
+# The first numbers of the generator with this seed.
+SEED, FIRST = 123456789, [0.6414006161858726, 0.5421892680969495, 0.9931750662832721]
+
+
 def test_random_streams():
-    rng = random.Random(123456789)
-    assert [rng.random() for _ in range(3)] == [0.6414006161858726, 0.5421892680969495, 0.9931750662832721]
+    rng = random.Random(SEED)
+    assert [rng.random() for _ in range(3)] == FIRST
+
+
+@pytest.mark.parametrize(("a", "b", "far", "prefix"), [("GATTACA", "GATTACA", 0, 0), ("GATTACA", "GACTATA", 2, 2), ("GAT", "GATTACA", FAR, 0), ("TTTT", "AAAA", 4, 4), ("CAT", "ACTG", FAR, 2)])
+def test_distances(spark, a, b, far, prefix):
+    row = spark.createDataFrame([(a, b)], "a string, b string").select(hamming(F.col("a"), F.col("b")), packed_hamming(packed(F.col("a")), packed(F.col("b"))), prefix_edit_distance(F.col("a"), F.col("b"))).first()
+    assert (row[0], row[2]) == (far, prefix)
+    assert far == FAR or row[1] == far
+
+
+def searched(counts: list[int]) -> int:
+    """The knee by looking at every point."""
 
+    def first(n: int) -> int:
+        ys = [sum(counts[: k + 1]) for k in range(n)]
+        far = [abs(k * (ys[-1] - ys[0]) - (y - ys[0]) * (n - 1)) for k, y in enumerate(ys)]
+        return far.index(max(far)) if max(far) else 0
 
-def test_distances(spark):
-    row = spark.createDataFrame([("ACGT", "ACGA", "ACG")], "a string, b string, c string").select(
-        hamming(F.col("a"), F.col("a")), hamming(F.col("a"), F.col("b")), hamming(F.col("a"), F.col("c")), packed_hamming(packed(F.col("a")), packed(F.col("b"))), prefix_edit_distance(F.col("c"), F.col("a")),
-    ).first()
-    assert tuple(row) == (0, 1, 4294967295, 1, 0)
+    knee, before = first(len(counts)), 0
+    while knee != before:
+        before, knee = knee, first(min(3 * knee, len(counts)))
+    return knee
 
 
-def test_knee():
-    curve = np.cumsum([100.0, 90, 80, 5, 4, 3, 2, 1])
-    assert knee.max_distance_index(curve) == 2
-    assert knee.max_distance_index(np.array([1.0])) == 0
-    assert knee.distance_knee(np.array([10, 5, 3, 1])) in range(4)
+@pytest.mark.parametrize("seed", range(40))
+def test_knee_at_corners_is_the_knee_of_all_points(seed):
+    rng = random.Random(seed)
+    counts = sorted((rng.choice((1, 1, 2, 3, rng.randint(1, 9), rng.randint(50, 60), 400)) for _ in range(rng.randint(1, 120))), reverse=True)
+    values = sorted(set(counts), reverse=True)
+    assert knee.distance_knee(np.array(values), np.array([counts.count(v) for v in values])) == searched(counts)
 
 
 def test_density():
-    assert knee.kernel_density(np.array([0.0]), np.array([1.0]), 1.0, np.array([0.0]))[0] == pytest.approx(0.3989, abs=1e-4)
+    xs = np.linspace(-1, 1, 5)
+    # Two kernels, of weights 3 and 1, by the formula of the normal density.
+    want = [(3 * math.exp(-((x - 0.5) ** 2) / 0.08) + math.exp(-((x + 0.5) ** 2) / 0.08)) / (4 * 0.2 * math.sqrt(2 * math.pi)) for x in xs]
+    assert knee.kernel_density(np.array([0.5, -0.5]), np.array([3.0, 1.0]), 0.2, xs) == pytest.approx(want)
     counts = np.array([1000, 990, 980, 12, 11, 10])
     assert 12 < knee.density_threshold(counts, np.array([5, 6, 5, 40, 50, 40])) < 980
+    # What isn't above a thousandth of the top takes no part.
+    assert 12 < knee.density_threshold(np.append(counts, 1), np.array([5, 6, 5, 40, 50, 40, 10**6])) < 980
     assert knee.density_threshold(np.array([5]), np.array([9])) is None
 
 
