@@ -1,17 +1,18 @@
 r"""Personal data in texts: fixed patterns, and a character-level BiLSTM with CRF transitions.
 
 The patterns give the base spans.  The network, trained in numpy from labelled spans
-(``labelled``: prose with personal data in many spellings, and with numbers that
-aren't), finds spellings that the patterns miss, such as numbers without a country
-code.  It reads windows of ``WINDOW`` characters at every ``STEP``; each is decoded by
-Viterbi, and a span of at most ``LONGEST`` characters lies whole inside one of them.  Spans of all
-windows of a text are then reconciled globally: the disjoint set with the largest sum
-of scores is kept, and spans that touch a base span give way to it.
-
-A span of the network counts only with the digits or the sign its kind needs
-(``valid``).  Windows hold the text within ``REACH`` characters of such a place; the rest
-of a text can yield no valid span, so it isn't decoded.  Patterns run in time linear
-in the text, also on endless runs of digits or letters.
+(``labelled``: prose with personal data in many spellings, and with numbers and hashes
+that aren't), adds what they miss: spelled-out and broken-up addresses, numbers without a
+country code or with other separators, and kinds that only their surroundings tell,
+such as secrets.  It reads windows of ``WINDOW`` characters at every ``STEP``; each is
+decoded by Viterbi, and a span of at most ``LONGEST`` characters lies whole inside one
+of them.  Spans of all windows of a text are then reconciled globally: the disjoint set
+with the largest sum of scores is kept, and spans that touch a base span give way to it.
+
+Any span holds a digit, an at sign, or one of at and dot spelled (``TRIGGER``).  Windows
+cover the text within ``REACH`` characters of those; what lies further off can be part
+of no span.  ``valid`` checks what the network finds, by what a kind is made of.
+Patterns run in time linear in the text, also on endless runs of digits or letters.
 
 Training takes bounded, generated rows (``BATCHES`` batches of ``BATCH`` windows) and
 is deterministic; weights are made once per driver process and sent with the tasks.
@@ -35,13 +36,15 @@ from pyspark.sql import functions as F
 
 from .common import row_of, table
 
-KINDS = ("email", "ip", "card", "phone")
+#: The first four have base patterns; the others are the network's alone.
+KINDS = ("email", "ip", "card", "phone", "secret", "ssn")
+BASE_KINDS = KINDS[:4]
 WINDOW, LONGEST = 128, 64
 #: No less than LONGEST, so that a window begins before any span that holds a trigger.
 REACH = LONGEST
 #: Of windows: a span needs a character before and behind it, save at the text's ends.
 STEP = WINDOW - LONGEST - 1
-BATCHES, BATCH, LENGTH, HIDDEN, EMBEDDED = 260, 32, 80, 16, 12
+BATCHES, BATCH, LENGTH, HIDDEN, EMBEDDED = 800, 48, 96, 28, 12
 SIGNS = 130  # 0: padding; 1 to 128: ASCII; 129: all others
 TAGS = ["O", *[f"{p}-{k}" for k in KINDS for p in "BI"]]
 
@@ -110,42 +113,71 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # ------------------------------------------------------------- labelled rows
 
 
+def _with_luhn(rng: random.Random, first: str, size: int) -> str:
+    body = first + "".join(rng.choice("0123456789") for _ in range(size - 2))
+    return next(body + d for d in "0123456789" if luhn(body + d))
+
+
+#: What stands before secrets, and before strings that look like them.
+SECRET_WORDS = ("token", "api_key", "apikey", "api key", "secret", "password", "passwd", "access_key", "auth_token", "client_secret", "private_key", "bearer", "credential")
+HASH_WORDS = ("commit", "sha", "sha1", "sha256", "md5", "etag", "checksum", "digest", "rev", "revision", "hash", "build", "blob", "object", "id")
+
+
 def labelled(rng: random.Random) -> tuple[str, list[str]]:
     """A text with a tag for each character."""
-    syllables = ("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve", "é", "ö", "ç", "ñ", "ung", "eau")
+    syllables = ("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve", "é", "ö", "ç", "ñ", "ung", "eau", "dot")
     digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
     plain = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8)))
-
-    def personal() -> tuple[str, str]:
-        kind = rng.choice(KINDS)
+    joined = lambda sign, parts: sign.join(parts)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    mixed = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    set_to = lambda: rng.choice((" = ", "=", ": ", ":", " := ", " ", " is "))
+
+    def personal() -> tuple[str, str, str, str]:
+        """What stands before, the kind, the span, what stands behind."""
+        kind = rng.choice((*KINDS, "email", "phone", "card", "secret"))
         if kind == "email":
             local = plain() + rng.choice(("", "." + plain(), "." + digits(2), "_" + plain(), digits(2)))
-            at = rng.choice(("@", "@", "@", "(at)", " (at) ", "[at]", " [at] "))
-            return kind, f"{local}{at}{plain()}{rng.choice(('', digits(1)))}.{rng.choice(('com', 'org', 'net', 'example.com', 'co.uk', 'de'))}"
+            host, end = plain() + rng.choice(("", digits(1))), rng.choice((("com",), ("org",), ("net",), ("example", "com"), ("co", "uk"), ("de",)))
+            at, dot = rng.choice((("@", "."), ("@", "."), ("(at)", "."), (" (at) ", "."), ("[at]", "."), (" [at] ", "."), (" at ", " dot "), (" AT ", " DOT "), ("(at)", "(dot)"), ("[at]", "[dot]"), (" (at) ", " (dot) "), ("@", "[.]")))
+            return "", kind, f"{local}{at}{joined(dot, (host, *end))}", ""
         if kind == "ip":
-            return kind, ".".join(str(rng.randint(0, 255)) for _ in range(4))
+            if rng.random() < 0.3:
+                return "", kind, joined(":", [hexes(rng.randint(1, 4)) for _ in range(8)]), ""
+            return "", kind, joined(rng.choice((".", ".", "[.]", "(.)")), [str(rng.randint(0, 255)) for _ in range(4)]), ""
         if kind == "card":
-            sep = rng.choice(("", "", " ", "-"))
-            return kind, sep.join((rng.choice("3456") + digits(3), digits(4), digits(4), digits(4)))
+            number, sep = _with_luhn(rng, rng.choice("3456"), 16), rng.choice(("", " ", "-", ".", "  ", " - ", "_", "/"))
+            return "", kind, joined(sep, [number[k : k + 4] for k in range(0, 16, 4)]), ""
+        if kind == "ssn":
+            return rng.choice(("", "", "ssn ", "SSN: ", "social security ")), kind, f"{digits(3)}-{digits(2)}-{digits(4)}", ""
+        if kind == "secret":
+            quote = rng.choice(('"', '"', "'", ""))
+            value = rng.choice((hexes(32), hexes(40), hexes(40), hexes(64), mixed(rng.randint(20, 44)), "sk_live_" + mixed(24), "ghp_" + mixed(36)))
+            return rng.choice(SECRET_WORDS) + (set_to() if quote or rng.random() < 0.5 else "=") + quote, kind, value, quote
         a, b, c = digits(3), digits(3), digits(4)
-        return kind, rng.choice((f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{digits(2)} {digits(2)} {digits(4)} {digits(4)}", f"({a}) {b} {c}", f"+{digits(11)}", f"1-{a}-{b}-{c}"))
+        two = [digits(2) for _ in range(4)]
+        sep = rng.choice((" ", ".", "-"))
+        return "", kind, rng.choice((f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", joined(sep, (a, b, c)), f"+{digits(2)} {digits(2)} {digits(4)} {digits(4)}", f"({a}) {b} {c}", f"+{digits(11)}", f"1-{a}-{b}-{c}", joined(sep, ("0" + digits(1), *two)), f"0{digits(1)} {digits(4)} {digits(4)}")), ""
 
     def other() -> str:
-        return rng.choice((digits(rng.randint(1, 6)), str(rng.randint(1900, 2030)), f"{digits(1)}.{digits(1)}", f"version {digits(1)}.{digits(1)}", f"20{digits(2)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}:{digits(2)}", f"${digits(3)},{digits(3)}", "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((20, 32, 40)))), digits(rng.randint(9, 11)), digits(rng.randint(20, 24)), "@" + plain(), f"{digits(3)} {digits(3)} {digits(3)} {digits(3)} {digits(3)} {digits(3)}", f"ISBN {digits(3)}-{digits(1)}-{digits(5)}-{digits(3)}-{digits(1)}"))
+        quote = rng.choice(('"', "", "", "'"))
+        looks = f"{rng.choice((*HASH_WORDS, word(), word()))}{set_to()}{quote}{rng.choice((hexes(32), hexes(40), hexes(40), hexes(64), mixed(rng.randint(20, 44))))}{quote}"
+        return rng.choice((digits(rng.randint(1, 6)), str(rng.randint(1900, 2030)), f"{digits(1)}.{digits(1)}", f"version {digits(1)}.{digits(1)}", f"20{digits(2)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}:{digits(2)}", f"${digits(3)},{digits(3)}", looks, looks, rng.choice(SECRET_WORDS) + " " + word(), digits(rng.randint(9, 11)), digits(rng.randint(20, 24)), "@" + plain(), f"{digits(3)} {digits(3)} {digits(3)} {digits(3)} {digits(3)} {digits(3)}", f"ISBN {digits(3)}-{digits(1)}-{digits(5)}-{digits(3)}-{digits(1)}", f"{word()} at {word()} dot", f"{digits(4)}/{digits(2)}/{digits(2)}"))
 
     text, tags = "", []
     while len(text) < LENGTH:
         r = rng.random()
-        kind, part = personal() if r < 0.2 else ("", other() if r < 0.35 else word())
+        before, kind, part, behind = personal() if r < 0.25 else ("", "", other() if r < 0.4 else word(), "")
         if rng.random() < 0.1 and not kind:
             part = part.capitalize()
-        text += part
-        tags += ([f"B-{kind}"] + [f"I-{kind}"] * (len(part) - 1)) if kind else ["O"] * len(part)
-        gap = rng.choice((" ", " ", " ", " ", ", ", ". ", "\n", ": "))
+        text += before + part + behind
+        tags += ["O"] * len(before) + ([f"B-{kind}"] + [f"I-{kind}"] * (len(part) - 1) if kind else ["O"] * len(part)) + ["O"] * len(behind)
+        gap = rng.choice((" ", " ", " ", " ", ", ", ". ", "\n", ": ", " | "))
         text += gap
         tags += ["O"] * len(gap)
-    return text[:LENGTH], tags[:LENGTH]
+    text = text[:LENGTH]
+    return text.upper() if rng.random() < 0.1 else text, tags[:LENGTH]
 
 
 def signs(texts: list[str], length: int) -> np.ndarray:
@@ -286,22 +318,35 @@ def trained(seed: int = 11) -> BiLstmCrf:
 
 # ------------------------------------------------------------------- windows
 
-#: What any valid span holds: a sign, 9 digits with at most what else a span has room for, or a dotted run.
-TRIGGER = re.compile(r"@|[(\[]at[)\]]|[0-9](?:[ ().+-]{0,54}[0-9]){8,}|[0-9]+(?:\.[0-9]+){3,}")
-SPELLED = re.compile(r"[\w.%+-]+ ?(?:@|\(at\)|\[at\]) ?[\w-]+(?:\.[\w-]+)+")
-GROUPED = re.compile(r"\+?(?:[0-9]{1,3}[ .-])?\(?[0-9]{2,4}\)?[ .-][0-9 .-]*[0-9]")
+#: What any valid span holds: a digit, a sign, or one of both spelled.
+TRIGGER = re.compile(r"[0-9@]+|[(\[]at[)\]]|[ (\[]dot[ )\]]", re.I)
+DOT = r"(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot |\[\.\])"
+SPELLED = re.compile(rf"[\w.%+-]+(?: ?(?:@|\(at\)|\[at\]) ?| at )[a-z0-9-]+(?:{DOT}[a-z0-9-]+)+", re.I)
+QUAD = re.compile(r"[0-9]+(?:(\.|\[\.\]|\(\.\))[0-9]+)(?:\1[0-9]+){2}")
+SIXTEENS = re.compile(r"(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}", re.I)
+CARD = re.compile(r"[3-6][0-9]*(?:( ?[-._/] ?| {1,2})[0-9]+)?(?:\1[0-9]+)*")
+GROUPED = re.compile(r"\+[0-9]+|\+?(?:[0-9]{1,3}[ .-])?\(?[0-9]{2,4}\)?[ .-][0-9 .-]*[0-9]")
+SECRET = re.compile(r"[A-Za-z0-9_+/=-]{16,}")
 
 
-def valid(kind: int, part: str) -> bool:
-    """What a span of the network needs besides its score."""
+def valid(kind: int, text: str, a: int, z: int) -> bool:
+    """What a span of the network needs besides its score.  It may not begin or end inside a number or word."""
+    part = text[a:z]
     digits = _digits(part)
+    if a and z > a and text[a - 1].isalnum() and part[0].isalnum() or z < len(text) and text[z].isalnum() and part[-1:].isalnum():
+        return False
     if kind == 0:
         return bool(SPELLED.fullmatch(part))
     if kind == 1:
-        return list(addresses(part)) == [(0, len(part))]
+        return bool(SIXTEENS.fullmatch(part)) or bool(QUAD.fullmatch(part)) and all(int(x) <= 255 for x in re.findall("[0-9]+", part))
     if kind == 2:
-        return 12 <= len(digits) <= 19 and luhn(digits) and bool(DIGITS.fullmatch(part))
-    return 10 <= len(digits) <= 15 and bool(GROUPED.fullmatch(part)) and len(re.findall("[0-9]+", part)) in (3, 4, 5)
+        return 12 <= len(digits) <= 19 and luhn(digits) and bool(CARD.fullmatch(part))
+    if kind == 3:
+        groups = len(re.findall("[0-9]+", part))
+        return 10 <= len(digits) <= 15 and (part[0] == "+" and groups == 1 or groups in (3, 4, 5)) and bool(GROUPED.fullmatch(part))
+    if kind == 4:
+        return bool(SECRET.fullmatch(part)) and len(digits) >= 3 and len(digits) < len(part)
+    return bool(re.fullmatch("[0-9]{3}-[0-9]{2}-[0-9]{4}", part))
 
 
 def windows(text: str) -> list[int]:
@@ -333,25 +378,30 @@ def reconciled(spans: list[tuple[int, int, int, float]], base: list[tuple[int, i
     return out[::-1]
 
 
-def find_all(texts: list[str], model: BiLstmCrf) -> list[list[tuple[int, int, int, bool]]]:
-    """Of each text: (start, kind's number, end, base), sorted."""
-    base = [base_spans(t) for t in texts]
+def read_spans(texts: list[str], model: BiLstmCrf) -> list[list[tuple[int, int, int, float]]]:
+    """Of each text the network's valid spans in all windows: (start, kind's number, end, score)."""
     places = [(k, s) for k, t in enumerate(texts) for s in windows(t)]
     found: list[list] = [[] for _ in texts]
     for at in range(0, len(places), 512):
         some = places[at : at + 512]
-        cuts = [texts[k][s : s + WINDOW] for k, s in some]
-        paths, margins = model.decode(signs(cuts, WINDOW))
-        for (k, s), cut, path, margin in zip(some, cuts, paths, margins):
-            for a in np.flatnonzero(path % 2 == 1):
+        paths, margins = model.decode(signs([texts[k][s : s + WINDOW] for k, s in some], WINDOW))
+        for (k, s), path, margin in zip(some, paths, margins):
+            text, size = texts[k], min(WINDOW, len(texts[k]) - s)
+            for a in np.flatnonzero(path[:size] % 2 == 1):
                 kind, z = int(path[a] - 1) // 2, int(a) + 1
-                while z < len(path) and path[z] == path[a] + 1:
+                while z < size and path[z] == path[a] + 1:
                     z += 1
-                if z - a <= LONGEST and z <= len(cut) and valid(kind, cut[a:z]):
-                    # Cut off by the window's edge: the next one holds it whole.
-                    if not (z == WINDOW and s + z < len(texts[k])) and not (a == 0 and s):
-                        found[k].append((s + int(a), kind, s + z, float(margin[a:z].sum())))
-    return [sorted([(*b, True) for b in bs] + [(*x, False) for x in reconciled(fs, bs)]) for bs, fs in zip(base, found)]
+                # Cut off by the window's edge: another one holds it whole.
+                cut_off = (z == WINDOW and s + z < len(text)) or (a == 0 and s)
+                if z - a <= LONGEST and not cut_off and valid(kind, text, s + int(a), s + z):
+                    found[k].append((s + int(a), kind, s + z, float(margin[a:z].sum())))
+    return found
+
+
+def find_all(texts: list[str], model: BiLstmCrf) -> list[list[tuple[int, int, int, bool]]]:
+    """Of each text: (start, kind's number, end, base), sorted."""
+    own = [(base_spans(t), spans) for t, spans in zip(texts, read_spans(texts, model))]
+    return [sorted([(*b, True) for b in base] + [(*x, False) for x in reconciled(spans, base)]) for base, spans in own]
 
 
 def annotate(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -403,4 +453,4 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = annotate(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s.base)
     count = lambda kind: F.size(F.filter("spans", lambda s: s.base & (s.kind == kind))).cast("long").alias(f"n_{kind}")
-    return found.select(F.col("row.doc_id").alias("doc_id"), *[count(k) for k in KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), *[count(k) for k in BASE_KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
