@@ -44,7 +44,7 @@ WINDOW, LONGEST = 128, 64
 REACH = LONGEST
 #: Of windows: a span needs a character before and behind it, save at the text's ends.
 STEP = WINDOW - LONGEST - 1
-BATCHES, BATCH, LENGTH, HIDDEN, EMBEDDED = 800, 48, 96, 28, 12
+BATCHES, BATCH, LENGTH, HIDDEN, EMBEDDED = 900, 48, 96, 28, 12
 SIGNS = 130  # 0: padding; 1 to 128: ASCII; 129: all others
 TAGS = ["O", *[f"{p}-{k}" for k in KINDS for p in "BI"]]
 
@@ -119,7 +119,7 @@ def _with_luhn(rng: random.Random, first: str, size: int) -> str:
 
 
 #: What stands before secrets, and before strings that look like them.
-SECRET_WORDS = ("token", "api_key", "apikey", "api key", "secret", "password", "passwd", "access_key", "auth_token", "client_secret", "private_key", "bearer", "credential")
+SECRET_WORDS = ("token", "token", "api_key", "apikey", "api key", "secret", "password", "passwd", "access_key", "auth_token", "client_secret", "private_key", "bearer", "credential")
 HASH_WORDS = ("commit", "sha", "sha1", "sha256", "md5", "etag", "checksum", "digest", "rev", "revision", "hash", "build", "blob", "object", "id")
 
 
@@ -136,7 +136,7 @@ def labelled(rng: random.Random) -> tuple[str, list[str]]:
 
     def personal() -> tuple[str, str, str, str]:
         """What stands before, the kind, the span, what stands behind."""
-        kind = rng.choice((*KINDS, "email", "phone", "card", "secret"))
+        kind = rng.choice((*KINDS, "email", "phone", "card", "secret", "secret"))
         if kind == "email":
             local = plain() + rng.choice(("", "." + plain(), "." + digits(2), "_" + plain(), digits(2)))
             host, end = plain() + rng.choice(("", digits(1))), rng.choice((("com",), ("org",), ("net",), ("example", "com"), ("co", "uk"), ("de",)))
@@ -147,13 +147,13 @@ def labelled(rng: random.Random) -> tuple[str, list[str]]:
                 return "", kind, joined(":", [hexes(rng.randint(1, 4)) for _ in range(8)]), ""
             return "", kind, joined(rng.choice((".", ".", "[.]", "(.)")), [str(rng.randint(0, 255)) for _ in range(4)]), ""
         if kind == "card":
-            number, sep = _with_luhn(rng, rng.choice("3456"), 16), rng.choice(("", " ", "-", ".", "  ", " - ", "_", "/"))
+            number, sep = _with_luhn(rng, rng.choice("3456"), 16), rng.choice(("", "", " ", "-", ".", "  ", " - ", "_", "/"))
             return "", kind, joined(sep, [number[k : k + 4] for k in range(0, 16, 4)]), ""
         if kind == "ssn":
             return rng.choice(("", "", "ssn ", "SSN: ", "social security ")), kind, f"{digits(3)}-{digits(2)}-{digits(4)}", ""
         if kind == "secret":
             quote = rng.choice(('"', '"', "'", ""))
-            value = rng.choice((hexes(32), hexes(40), hexes(40), hexes(64), mixed(rng.randint(20, 44)), "sk_live_" + mixed(24), "ghp_" + mixed(36)))
+            value = rng.choice((hexes(32), hexes(40), hexes(40), hexes(40), hexes(64), mixed(rng.randint(20, 44)), "sk_live_" + mixed(24), "ghp_" + mixed(36)))
             return rng.choice(SECRET_WORDS) + (set_to() if quote or rng.random() < 0.5 else "=") + quote, kind, value, quote
         a, b, c = digits(3), digits(3), digits(4)
         two = [digits(2) for _ in range(4)]
@@ -163,7 +163,7 @@ def labelled(rng: random.Random) -> tuple[str, list[str]]:
     def other() -> str:
         quote = rng.choice(('"', "", "", "'"))
         looks = f"{rng.choice((*HASH_WORDS, word(), word()))}{set_to()}{quote}{rng.choice((hexes(32), hexes(40), hexes(40), hexes(64), mixed(rng.randint(20, 44))))}{quote}"
-        return rng.choice((digits(rng.randint(1, 6)), str(rng.randint(1900, 2030)), f"{digits(1)}.{digits(1)}", f"version {digits(1)}.{digits(1)}", f"20{digits(2)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}:{digits(2)}", f"${digits(3)},{digits(3)}", looks, looks, rng.choice(SECRET_WORDS) + " " + word(), digits(rng.randint(9, 11)), digits(rng.randint(20, 24)), "@" + plain(), f"{digits(3)} {digits(3)} {digits(3)} {digits(3)} {digits(3)} {digits(3)}", f"ISBN {digits(3)}-{digits(1)}-{digits(5)}-{digits(3)}-{digits(1)}", f"{word()} at {word()} dot", f"{digits(4)}/{digits(2)}/{digits(2)}"))
+        return rng.choice((digits(rng.randint(1, 6)), str(rng.randint(1900, 2030)), f"{digits(1)}.{digits(1)}", f"version {digits(1)}.{digits(1)}", f"20{digits(2)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}:{digits(2)}", f"${digits(3)},{digits(3)}", looks, looks, rng.choice(SECRET_WORDS) + " " + word(), digits(rng.randint(9, 11)), "@" + plain(), f"{digits(3)} {digits(3)} {digits(3)} {digits(3)} {digits(3)} {digits(3)}", f"ISBN {digits(3)}-{digits(1)}-{digits(5)}-{digits(3)}-{digits(1)}", f"{word()} at {word()} dot", f"{digits(4)}/{digits(2)}/{digits(2)}"))
 
     text, tags = "", []
     while len(text) < LENGTH:
