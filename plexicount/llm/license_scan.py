@@ -2,10 +2,10 @@
 
 A run of consecutive words, wherever lines break, of at most ``RUN`` times a template's
 words meets the template when it contains at least ``threshold`` of its distinct words
-(containment), and all that tell its license from others (``REQUIRED``).  Blocks are
-windows of twice the longest run that overlap by half: every run lies within one.  The
-join finds every block and template that can meet, exactly, and looks for the runs in
-those pairs alone:
+(containment), all those that tell its license from others (``required``) and none that
+tells another (``barred``).  Blocks are windows of twice the longest run that overlap
+by half: every run lies within one.  The join finds every block and template that can
+meet, exactly, and looks for the runs in those pairs alone:
 
 * words are ordered by their frequency over all blocks, rarest first.  Only the
   templates' own vocabulary can take part, so the counts come from one map-side
@@ -19,22 +19,25 @@ those pairs alone:
   leaves min(n - p, m - j) words to share, which must reach a;
 * a pair is verified once, at its rarest shared word.
 
-The template side of the join is a constant of a few rows, so broadcasting it is
-bounded by construction.  Base phrases are found with one regular expression over the
-words joined by single spaces.
+A text is looked at by words only if it holds, anywhere, what some template can't do
+without: its required words and one of any n - a + 1 of its words.  The templates'
+prefixes are broadcast up to ``BROADCAST_ROWS`` of them; beyond, the join is shuffled.
+Base phrases are found with one regular expression over the words joined by single spaces.
 
 Defined results: null text counts as empty; an empty text has no words, null
 first_word and last_word, empty labels and score 0; repeated rows
 keep their own result rows; ids may be null; the caller's columns come back inside
-``row``; an empty table gives no rows.
+``row``, keys of any name as they are; an empty table gives no rows; without templates
+no block meets any.
 
-The SQL compares whole lines of any length and requires no word: it has no wrapped
-notices, and has labels where a line lacks a required word or the words are far apart.
+The SQL compares whole lines of any length with the templates' word sets: it has no
+notices that are wrapped, and has labels where words of one line are far apart.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,18 +46,44 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, row_of, staged, table
 
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+
+
+@dataclass(frozen=True)
+class Template:
+    """A notice in lower-case words, those a run needs whatever the threshold, and those it may not have."""
+
+    label: str
+    words: str
+    required: str = ""
+    barred: str = ""
+
+
+# Notices by which licenses are named or granted.
 TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
+    Template("mit", "released under the mit license", "mit"),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission granted charge"),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so", "permission sublicense"),
+    Template("apache", "licensed under the apache license version 2 0", "apache"),
+    Template("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache compliance"),
+    Template("gpl", "this work is licensed under the gnu general public license version 3", "general public", "lesser affero"),
+    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "general public redistribute", "lesser affero"),
+    Template("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "lesser redistribute"),
+    Template("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "affero redistribute"),
+    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution binary"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission fee"),
+    Template("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla"),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered"),
+    Template("cc-by", "licensed under cc by 4 0", "cc by", "nc sa nd"),
+    Template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa", "nc nd"),
+    Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc", "sa nd"),
+    Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution", "noncommercial sharealike noderivatives"),
+    Template("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative commons sharealike", "noncommercial noderivatives"),
+    Template("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons noncommercial", "sharealike noderivatives"),
 )
 THRESHOLD = 0.8
-#: Words that a run needs whatever the threshold, if the label's template has them.
-REQUIRED = {"mit": {"mit"}, "apache": {"apache"}, "gpl": {"general", "public"}, "cc-by-nc": {"cc", "by", "nc"}}
 #: A run is at most so many times as long as its template.
 RUN = 2
+BROADCAST_ROWS = 100_000
 #: Separators of words where letters keep their case.
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -71,45 +100,54 @@ def _spaces(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))).cast("long")
 
 
-def similar_blocks(docs: DataFrame, key_cols: list[str], text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def similar_blocks(docs: DataFrame, key_cols: list[str], text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per block and template it meets: the keys, ``label``, ``score`` (containment), ``block`` (its words)."""
     spark = docs.sparkSession
-    sets = [(label, sorted(set(words.split())), RUN * len(words.split())) for label, words in templates]
+    sets = [(t, sorted(set(t.words.split())), RUN * len(t.words.split())) for t in templates]
     vocabulary = sorted({w for _, ws, _ in sets for w in ws})
-    needs = [(ws, _need(len(ws), threshold)) for _, ws, _ in sets]
-    least, span = min(need for _, need in needs), max(run for _, _, run in sets)
     strings = lambda ws: F.array(*[F.lit(w) for w in ws]).cast("array<string>")
-    # Of a template with n words of which a must be met, any n - a + 1 words hold one that is; long ones are rare.
-    telling = sorted({w for ws, need in needs for w in sorted(ws, key=lambda w: (-len(w), w))[: len(ws) - need + 1]})
-    any_of = lambda conditions: reduce(Column.__or__, conditions)
-    # Arrays of one element: what they hold is computed once.
-    hint = lambda text: F.exists(F.array(text), lambda t: any_of([F.contains(t, F.lit(w)) for w in telling]))
+    any_of = lambda conditions: reduce(Column.__or__, conditions, F.lit(False))
+    needs = [(ws, _need(len(ws), threshold)) for _, ws, _ in sets]
+    least, span = min((need for _, need in needs), default=1), max((run for _, _, run in sets), default=1)
+
+    def hint(text: Column) -> Column:
+        """Of n words of which a must be met, any n - a + 1 hold one that is; long ones are rare."""
+        told = {}
+        for t, ws, _ in sets:
+            telling = tuple(sorted(ws, key=lambda w: (-len(w), w))[: len(ws) - _need(len(ws), threshold) + 1])
+            told.setdefault((telling, tuple(sorted(t.required.split(), key=len, reverse=True))), None)
+        # Arrays of one element: what they hold is computed once.
+        has = lambda x, w: F.contains(x, F.lit(w))
+        return F.exists(F.array(text), lambda x: any_of([reduce(Column.__and__, [has(x, w) for w in required], any_of([has(x, w) for w in telling])) for telling, required in told]))
+
     enough = lambda words: F.exists(F.array(F.array_intersect(strings(vocabulary), words)), lambda t: any_of([F.size(F.array_intersect(strings(ws), t)) >= need for ws, need in needs]))
-    lowered = docs.select(*key_cols, ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("lowered")).where(hint(F.col("lowered")))
-    whole = lowered.select(*key_cols, _words(F.col("lowered")).alias("all")).where(enough(F.col("all")))
+    keys = F.struct(*[F.col(f"`{c}`") for c in key_cols]).alias("keys")
+    lowered = docs.select(keys, ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("lowered")).where(hint(F.col("lowered")))
+    whole = lowered.select("keys", _words(F.col("lowered")).alias("all")).where(enough(F.col("all")))
     starts = F.sequence(F.lit(0), F.size("all") - 1, F.lit(span))
-    windows = whole.select(*key_cols, F.explode(F.transform(starts, lambda k: F.slice("all", k + 1, F.lit(2 * span)))).alias("block"))
+    windows = whole.select("keys", F.explode(F.transform(starts, lambda k: F.slice("all", k + 1, F.lit(2 * span)))).alias("block"))
     met = windows.where(enough(F.col("block"))).select("*", F.array_intersect(strings(vocabulary), "block").alias("tokens"))
     met = staged(met, "license-blocks")
     counts = {r["t"]: r["n"] for r in met.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
     ordered = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     rank = {w: k for k, w in enumerate(ordered)}
     index = []
-    for number, (label, ws, run) in enumerate(sets):
+    for number, (t, ws, run) in enumerate(sets):
         ws = sorted(ws, key=rank.__getitem__)
         need = _need(len(ws), threshold)
-        index += [(w, number, label, p, len(ws), need, run, ws, sorted(REQUIRED.get(label, set()).intersection(ws))) for p, w in enumerate(ws[: len(ws) - need + 1])]
-    prefixes = spark.createDataFrame(index, "token string, template int, label string, p int, n int, need int, run int, words array<string>, required array<string>")
-    ranked = met.select(*key_cols, "block", F.array_intersect(strings(ordered), F.col("tokens")).alias("tokens"))
+        index += [(w, number, t.label, p, len(ws), need, run, ws, t.required.split(), t.barred.split()) for p, w in enumerate(ws[: len(ws) - need + 1])]
+    prefixes = spark.createDataFrame(index, "token string, template int, label string, p int, n int, need int, run int, words array<string>, required array<string>, barred array<string>")
+    prefixes = F.broadcast(prefixes) if len(index) <= BROADCAST_ROWS else prefixes
+    ranked = met.select("keys", "block", F.array_intersect(strings(ordered), F.col("tokens")).alias("tokens"))
     # A block's own prefix: whatever the template, at least `least` words must follow.
-    probes = ranked.select("*", F.posexplode(F.slice("tokens", F.lit(1), F.size("tokens") - least + 1)).alias("j", "token"))
-    pairs = probes.join(F.broadcast(prefixes), "token").where(F.least(F.col("n") - F.col("p"), F.size("tokens") - F.col("j")) >= F.col("need"))
+    probes = ranked.select("*", F.posexplode(F.slice("tokens", F.lit(1), F.greatest(F.size("tokens") - least + 1, F.lit(0)))).alias("j", "token"))
+    pairs = probes.join(prefixes, "token").where(F.least(F.col("n") - F.col("p"), F.size("tokens") - F.col("j")) >= F.col("need"))
     shared = F.array_intersect("words", "tokens")
     likely = pairs.where((F.size(shared) >= F.col("need")) & (F.get(shared, F.lit(0)) == F.col("token")))
-    runs = F.transform(F.sequence(F.lit(1), F.size("block")), lambda k: F.array_intersect("words", F.slice("block", k, F.col("run"))))
-    runs = F.filter(runs, lambda both: F.size(F.array_except("required", both)) == 0)
-    verified = likely.withColumn("both", F.array_max(F.transform(runs, F.size))).where("both >= need")
-    return verified.select(*key_cols, "label", (F.col("both") / F.col("n")).alias("score"), "block")
+    runs = F.transform(F.sequence(F.lit(1), F.size("block")), lambda k: F.slice("block", k, F.col("run")))
+    runs = F.filter(runs, lambda r: (F.size(F.array_except("required", r)) == 0) & ~F.arrays_overlap("barred", r))
+    verified = likely.withColumn("both", F.array_max(F.transform(runs, lambda r: F.size(F.array_intersect("words", r))))).where("both >= need")
+    return verified.select(*[F.col(f"keys.`{c}`").alias(c) for c in key_cols], "label", (F.col("both") / F.col("n")).alias("score"), "block")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -149,7 +187,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-_T = ", ".join(f"('{label}', {sorted(set(words.split()))})" for label, words in TEMPLATES)
+_T = ", ".join(f"('{t.label}', {sorted(set(t.words.split()))}, {t.required.split()}, {t.barred.split()}::VARCHAR[])" for t in TEMPLATES)
 OP3_SQL = rf"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM d),
@@ -158,8 +196,8 @@ p AS (SELECT doc_id, i - 1 AS pos, CASE WHEN ws[i] = 'mit' AND ws[i+1] = 'licens
         WHEN ws[i] = 'general' AND ws[i+1] = 'public' AND ws[i+2] = 'license' THEN 'gpl' END AS label FROM u),
 b AS (SELECT doc_id, count(*) AS n, min(pos) AS a, max(pos) AS z, list(DISTINCT label) AS ls FROM p WHERE label IS NOT NULL GROUP BY doc_id),
 l AS (SELECT doc_id, list_filter(regexp_split_to_array(unnest(string_split(t, chr(10))), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS bs FROM d),
-t AS (SELECT * FROM (VALUES {_T}) AS v(label, ts)),
-m AS (SELECT doc_id, label, len(list_intersect(ts, bs)) / len(ts) AS c FROM l, t WHERE 10 * len(list_intersect(ts, bs)) >= 8 * len(ts)),
+t AS (SELECT * FROM (VALUES {_T}) AS v(label, ts, required, barred)),
+m AS (SELECT doc_id, label, len(list_intersect(ts, bs)) / len(ts) AS c FROM l, t WHERE 10 * len(list_intersect(ts, bs)) >= 8 * len(ts) AND list_has_all(bs, required) AND NOT list_has_any(bs, barred)),
 o AS (SELECT doc_id, list(DISTINCT label) AS ls, max(c) AS score FROM m GROUP BY doc_id)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.a::BIGINT AS first_word, b.z::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(b.ls), ','), '') AS base_labels,

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plexicount.llm import license_scan, near_dup, packing, pii
@@ -28,10 +29,42 @@ def test_wrapped_notices(spark):
 
 def test_labels_of_other_licenses(spark):
     scattered = "released " + "word " * 40 + "under " + "word " * 40 + "the mit " + "word " * 40 + "license"
-    others = ["Released under the BSD License.", "Licensed under CC BY 4.0", "Licensed under CC BY-SA 4.0", scattered, "This work is licensed under the GNU Free Documentation License version 3"]
-    got = scanned(spark, [*others, "Licensed under CC BY-NC 4.0", "Released under an MIT License"])
-    assert [got[k] for k in range(len(others))] == [("", 0.0)] * len(others)
-    assert got[len(others)] == ("cc-by-nc", 1.0) and got[len(others) + 1][1] == 0.8
+    others = ["Released under the BSD License.", "Licensed under CC BY-NC-SA 4.0", "Licensed under CC BY-ND 4.0", scattered, "This work is licensed under the GNU Free Documentation License version 3", "mit " * 8000 + "license"]
+    named = {"Licensed under CC BY-NC 4.0": "cc-by-nc", "Licensed under CC BY 4.0": "cc-by", "Licensed under CC BY-SA 4.0": "cc-by-sa", "Released under the Apache License.": "apache"}
+    got = scanned(spark, [*others, *named, "Released under an MIT License"])
+    assert [got[k] for k in range(len(others) - 1)] == [("", 0.0)] * (len(others) - 1) and got[len(others) - 1] == ("mit", 0.0)
+    assert [got[len(others) + k][0] for k in range(len(named))] == list(named.values())
+    assert got[len(others) + len(named)][1] == 0.8
+
+
+# Beginnings of license texts, wrapped as they are published.
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+LGPL = """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either"""
+
+
+def test_published_notices(spark):
+    long = " ".join(f"word{k}" for k in range(15_000))
+    texts = [APACHE, BSD, LGPL, f"{long} {MIT} {long}".replace("\n", " "), "x\n\n" + BSD.replace("\n", "\n# ") + "\n\ny", BSD[:70]]
+    assert scanned(spark, texts) == {0: ("apache", 1.0), 1: ("bsd", 1.0), 2: ("gpl,lgpl", 1.0), 3: ("mit", 1.0), 4: ("bsd", 1.0), 5: ("", 0.0)}
+
+
+def test_similar_blocks_keeps_keys_of_any_name(spark):
+    names = ["block", "token", "tokens", "p", "n", "words", "keys", "a.b"]
+    docs = spark.createDataFrame([(*range(8), "Released under the MIT License"), (*[None] * 8, None)], ", ".join(f"`{c}` int" for c in names) + ", text string")
+    rows = license_scan.similar_blocks(docs.withColumn("own", F.lit(1)), names).collect()
+    assert [tuple(r)[:9] for r in rows] == [(*range(8), "mit")]
+    assert license_scan.similar_blocks(docs, ["p"], templates=()).count() == 0
+
+
+def test_license_joins_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(license_scan, "BROADCAST_ROWS", 0)
+    assert scanned(spark, [MIT, BSD]) == {0: ("mit", 1.0), 1: ("bsd", 1.0)}
 
 
 class Tagger:
