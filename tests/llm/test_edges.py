@@ -119,6 +119,15 @@ def test_url_filter(spark):
     got = {r["row"]["url"]: (r["rule"], r["verdict"]) for r in rows}
     want = [(None, "allow")] * 3 + [("example.net/en/", "allow"), ("net/", "block"), (None, "allow"), ("org/fr/", "allow"), (None, "allow"), ("example.com/de/", "block"), ("net/", "block"), ("net/", "block")]
     assert [got[u] for u in urls] == want
+    assert "Exchange" not in url_filter.judge(pages, rules)._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(url_filter, "BROADCAST_RULES", 0)
+        again = url_filter.judge(pages, rules).collect()
+    assert sorted(map(str, again)) == sorted(map(str, rows))
+    many = rules.unionByName(spark.range(3000).selectExpr("'block' AS verdict", "concat('h', id, '.org') AS host", "concat('/', repeat('x', id % 9)) AS path")).unionByName(spark.createDataFrame([("block", None, "/"), ("block", "org", None)], rules.schema))
+    assert {r["row"]["url"]: (r["rule"], r["verdict"]) for r in url_filter.judge(pages, many).collect()} == got
+    deep = spark.createDataFrame([(1, "http://a.h17.org/xxxxxxxxxx"), (2, "http://h17.org/xxxxxxx")], "page_id bigint, url string")
+    assert [r["rule"] for r in url_filter.judge(deep, many).orderBy("row.page_id").collect()] == ["h17.org/xxxxxxxx", None]
     assert {r["verdict"] for r in url_filter.judge(pages, rules.limit(0)).collect()} == {"allow"}
     assert url_filter.judge(pages.limit(0), rules).count() == 0
 
