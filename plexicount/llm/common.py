@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterable
+from urllib.parse import urlparse
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import fresh_dir, shared_dir, staged
+from ..storage import discard, fresh_dir, shared_dir, staged
 
-__all__ = ["LOWER", "NON_WORD", "UPPER", "WS", "ascii_lower", "fresh_dir", "row_of", "shared_dir", "staged", "table", "worker_cache"]
+__all__ = ["LOWER", "NON_WORD", "UPPER", "WS", "ascii_lower", "discard", "filesystem", "fresh_dir", "read_whole", "row_of", "shared_dir", "staged", "table", "worker_cache", "write_whole"]
 
 #: ASCII white space, the only separator of words in most contracts.
 WS = r"[\x20\x09-\x0D]+"
@@ -32,6 +35,32 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def filesystem(path: str):
+    """The file system of a path of the shared folder, and the path in it."""
+    import pyarrow.fs as pafs
+
+    uri = urlparse(path)
+    if uri.scheme in ("", "file"):
+        return pafs.LocalFileSystem(), uri.path
+    return pafs.FileSystem.from_uri(path)
+
+
+def write_whole(path: str, chunks: Iterable[bytes]) -> None:
+    """A file of the shared folder that appears whole or not at all, however often its task runs."""
+    fs, place = filesystem(path)
+    fs.create_dir(place.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(temporary := f"{place}.{uuid4().hex}") as out:
+        for chunk in chunks:
+            out.write(chunk)
+    fs.move(temporary, place)
+
+
+def read_whole(path: str) -> bytes:
+    fs, place = filesystem(path)
+    with fs.open_input_file(place) as f:
+        return f.read()
+
+
 def worker_cache(name: str) -> dict:
     """A dict that lives in the Python worker until another operator asks for its own."""
     held = sys.__dict__.setdefault("_plexicount_worker_caches", {})

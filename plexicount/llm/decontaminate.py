@@ -5,10 +5,13 @@ document's words stream through it; at each word it knows the longest run that e
 there and stands in some item.  Where that run reaches ``window`` words, the last
 ``window`` words are hit; an item of fewer words is hit where it stands whole.
 
-Benchmarks are small next to corpora.  The item table is read in shards of at most
-``SHARD_WORDS`` words, one automaton and one pass over the rows each; a shard's
-automaton is all that is ever broadcast, so what is broadcast has a fixed bound.
-Documents are never exchanged: everything happens in the partition that read them.
+Benchmarks are small next to corpora.  The item table is dealt into shards of at most
+``SHARD_WORDS`` words and ``SHARD_BYTES`` bytes.  Tasks build an automaton for each and
+write it to the shared folder as flat arrays, about 70 bytes a word.  A pass over the
+rows goes with one automaton, which is all of the benchmark that a worker ever holds;
+several shards take as many staged passes.  Nothing of the benchmark is broadcast or
+sent to the driver but the files' names.  Documents are never exchanged: everything
+happens in the partition that read them.
 
 Defined results: null text has no words and no hits; items without words match
 nothing; repeated items and ids count once; texts of any length stream whole;
@@ -18,20 +21,25 @@ repeated rows are judged each by itself; the caller's columns come back inside
 
 from __future__ import annotations
 
+import pickle
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_of, table
+from .common import discard, fresh_dir, read_whole, row_of, staged, table, worker_cache, write_whole
 
 #: Of lower-cased UTF-8: what isn't a digit, a-z or part of a character beyond ASCII.
 BREAKS = bytes(c for c in range(128) if not (48 <= c <= 57 or 97 <= c <= 122))
 TO_SPACE = bytes(32 if c in BREAKS else c for c in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-SHARD_WORDS = 2_000_000
+SHARD_WORDS, SHARD_BYTES = 250_000, 4_000_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -55,29 +63,14 @@ class Automaton:
             if self.length[s] >= window:
                 up = self.link[s]
                 self.at_window[s] = s if self.length[up] < window else self.at_window[up]
-        #: Items by the state of one of their windows, and short items (length, item) by any state they end in.
-        self.items: dict[int, list] = {}
-        self.short: dict[int, tuple] = {}
-        starts: dict[int, set] = {}
+        #: Items by the state of one of their windows, and short items (length, item) by the state they end in.
+        self.items: dict[int, set] = {}
+        self.short: dict[int, set] = {}
         for item, ws, end in ends:
             if len(ws) < window:
-                starts.setdefault(end, set()).add((len(ws), item))
-        for s in order[1:]:
-            own = starts.get(s, set()) | set(self.short.get(self.link[s], ()))
-            if own:
-                self.short[s] = tuple(sorted(own, key=repr))
-        for item, ws, _ in ends:
+                self.short.setdefault(end, set()).add((len(ws), item))
             for _, state in self._windows(ws):
-                held = self.items.setdefault(state, [])
-                if item not in held:
-                    held.append(item)
-
-    @classmethod
-    def of(cls, state: dict) -> Automaton:
-        """From ``vars()`` of another; broadcasts hold plain data, as workers needn't have this module."""
-        made = cls.__new__(cls)
-        made.__dict__.update(state)
-        return made
+                self.items.setdefault(state, set()).add(item)
 
     def _add(self, ws: list[int]) -> int:
         last, nxt, link, length = 0, self.next, self.link, self.length
@@ -128,35 +121,74 @@ class Automaton:
             n = length[s]
         return nxt[s][w], n + 1
 
+    def packed(self) -> dict:
+        """Flat arrays: about 70 bytes a word, against a dict for each state while it is built."""
+        flat = lambda rows: array("i", [x for row in rows for x in row])
+        ends = lambda rows: array("i", accumulate(map(len, rows), initial=0))
+        edges = [sorted(e.items()) for e in self.next]
+        names = sorted({i for held in (*self.items.values(), *([i for _, i in s] for s in self.short.values())) for i in held})
+        number = {n: k for k, n in enumerate(names)}
+        windowed, ended = sorted(self.items), sorted(self.short)
+        own = set(ended)
+        # Of each state the nearest one at or above it in which a short item ends.
+        above = array("i", [-1]) * len(self.link)
+        for s in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+            above[s] = s if s in own else above[self.link[s]]
+        return {
+            "window": self.window, "words": b"\n".join(self.ids), "names": names,
+            "link": array("i", self.link), "length": array("i", self.length), "at_window": array("i", self.at_window), "above": above,
+            "root": array("i", [self.next[0].get(w, 0) for w in range(len(self.ids))]),
+            "starts": ends(edges), "letters": flat([w for w, _ in e] for e in edges), "targets": flat([t for _, t in e] for e in edges),
+            "windowed": array("i", windowed), "item_starts": ends([self.items[s] for s in windowed]), "items": flat([number[i] for i in self.items[s]] for s in windowed),
+            "ended": array("i", ended), "short_starts": ends([self.short[s] for s in ended]), "short": flat([x for m, i in self.short[s] for x in (m, number[i])] for s in ended),
+        }
+
+
+class Matcher:
+    """Streams words through a packed automaton."""
+
+    def __init__(self, packed: dict):
+        self.__dict__.update(packed)
+        self.ids = {w: k for k, w in enumerate(packed["words"].split(b"\n"))} if packed["words"] else {}
+
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Hit words as sorted, disjoint half-open ranges, and the items that hit them."""
-        nxt, link, length, short, window = self.next, self.link, self.length, self.short, self.window
+        link, length, root, above, window = self.link, self.length, self.root, self.above, self.window
+        starts, letters, targets = self.starts, self.letters, self.targets
         found, states, own = [], set(), set()
         s = n = 0
-        root = nxt[0]
         for k, w in enumerate(map(self.ids.get, words)):
-            to = nxt[s].get(w)
-            while to is None:
-                if not s:
-                    n = -1
-                    to = root.get(w, 0)
-                    n = 0 if to else -1
+            if w is None:
+                s = n = 0
+                continue
+            while s:
+                a, z = starts[s], starts[s + 1]
+                if z - a > 1:
+                    a = bisect_left(letters, w, a, z)
+                if a < z and letters[a] == w:
+                    s = targets[a]
                     break
                 s = link[s]
                 n = length[s]
-                to = nxt[s].get(w)
-            s = to
+            else:
+                # Every word of an item leaves the root.
+                s, n = root[w], 0
             n += 1
             if n >= window:
                 states.add(self.at_window[s])
                 found.append((k - window + 1, k + 1))
-            if s in short:
-                for m, item in short[s]:
+            t = above[s]
+            while t > 0:
+                at = bisect_left(self.ended, t)
+                for x in range(self.short_starts[at], self.short_starts[at + 1]):
+                    m = self.short[2 * x]
                     if n >= m:
-                        own.add(item)
+                        own.add(self.names[self.short[2 * x + 1]])
                         found.append((k - m + 1, k + 1))
+                t = above[link[t]]
         for state in states:
-            own.update(self.items[state])
+            at = bisect_left(self.windowed, state)
+            own.update(self.names[i] for i in self.items[self.item_starts[at] : self.item_starts[at + 1]])
         return merged(found), own
 
 
@@ -170,25 +202,61 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def shards(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> Iterator[Automaton]:
-    """Automata over the items, each over at most SHARD_WORDS words unless one item has more."""
-    held, size = [], 0
-    for row in benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL").toLocalIterator():
-        ws = words_of(row["text"])
-        if held and size + len(ws) > SHARD_WORDS:
-            yield Automaton(held, window)
-            held, size = [], 0
-        held.append((str(row["item"]), ws))
-        size += len(ws)
-    yield Automaton(held, window)
-
-
-def _finder(shared):
-    """The pass over the rows with one shard's automaton."""
+def shards(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> list[str]:
+    """Files of the shared folder, one for each automaton: over at most ``SHARD_WORDS`` words
+    of at most ``SHARD_BYTES``, unless one item has more.  Tasks build and write them; none passes
+    the driver, and a task holds one at a time."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL").distinct()
+    items = staged(items, "benchmark-items")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = 1 + total // SHARD_BYTES
+    folder = fresh_dir(spark, "automata")
+
+    def build(key, group):
+        number, made, held, size, bulk = key[0].as_py(), [], [], 0, 0
+
+        def write() -> None:
+            path = f"{folder}/{number}-{len(made)}"
+            data = pickle.dumps(Automaton(held, window).packed(), pickle.HIGHEST_PROTOCOL)
+            write_whole(path, [data])
+            made.append((path, len(data)))
+            held.clear()
+
+        for item, text in zip(group.column("item").to_pylist(), group.column("text").to_pylist()):
+            ws = words_of(text)
+            if held and (size + len(ws) > SHARD_WORDS or bulk + len(text) > SHARD_BYTES):
+                write()
+                size = bulk = 0
+            held.append((str(item), ws))
+            size, bulk = size + len(ws), bulk + len(text)
+        write()
+        return pa.table({"path": pa.array([p for p, _ in made]), "bytes": pa.array([n for _, n in made], pa.int64())})
+
+    sharded = items.withColumn("shard", F.pmod(F.xxhash64("item", "text"), F.lit(parts)))
+    paths = sorted(r["path"] for r in sharded.groupBy("shard").applyInArrow(build, "path string, bytes bigint").collect())
+    if not paths:
+        # An automaton of nothing still counts words.
+        write_whole(empty := f"{folder}/empty", [pickle.dumps(Automaton([], window).packed())])
+        return [empty]
+    return paths
+
+
+def _matcher(path: str) -> Matcher:
+    """Of a worker one at a time."""
+    held = worker_cache("decontamination")
+    if path not in held:
+        held.clear()
+        held[path] = Matcher(pickle.loads(read_whole(path)))
+    return held[path]
+
+
+def _finder(path: str):
+    """One pass over the rows, with one automaton."""
 
     @F.arrow_udf("struct<n_words:bigint,hits:array<int>,items:array<string>>")
     def leaks(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scan = Automaton.of(shared.value).scan
+        scan = _matcher(path).scan
         for batch in texts:
             ns, hits, items = [], [], []
             for text in batch.to_pylist():
@@ -202,24 +270,34 @@ def _finder(shared):
     return leaks
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``row``, n_words, ``hits`` (start and end of hit word ranges, flat) and ``items`` (ids as strings, sorted)."""
-    out = docs.select(row_of(docs).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    columns = []
-    for k, automaton in enumerate(shards(benchmark, item_col, item_text_col, window)):
-        shared = docs.sparkSession.sparkContext.broadcast(vars(automaton))
-
-        out = out.withColumn(f"leaks{k}", _finder(shared)("text"))
-        columns.append(f"leaks{k}")
-    parts = [F.col(c) for c in columns]
-    if len(parts) == 1:
-        return out.select("row", "text", parts[0].n_words.alias("n_words"), parts[0].hits.alias("hits"), parts[0]["items"].alias("items"))
-
+def _union():
     @F.arrow_udf("array<int>")
     def union(flat: pa.Array) -> pa.Array:
         return pa.array([[x for r in merged(list(zip(f[::2], f[1::2]))) for x in r] for f in flat.to_pylist()], pa.list_(pa.int32()))
 
-    return out.select("row", "text", parts[0].n_words.alias("n_words"), union(F.concat(*[p.hits for p in parts])).alias("hits"), F.array_sort(F.array_distinct(F.concat(*[p["items"] for p in parts]))).alias("items"))
+    return union
+
+
+def _passes(rows: DataFrame, paths: list[str]) -> DataFrame:
+    """rows: row, text (and more).  Adds n_words, hits and items, by a pass for each automaton; each pass but the last is staged."""
+    out, before = rows.withColumn("hits", F.array().cast("array<int>")).withColumn("items", F.array().cast("array<string>")), None
+    for k, path in enumerate(paths):
+        found = out.drop("n_words").withColumn("found", _finder(path)("text"))
+        items = F.array_sort(F.array_distinct(F.concat("items", F.col("found.items")))) if k else F.col("found.items")
+        hits = _union()(F.concat("hits", F.col("found.hits"))) if k else F.col("found.hits")
+        out = found.withColumn("items", items).withColumn("hits", hits).withColumn("n_words", F.col("found.n_words")).drop("found")
+        if k + 1 < len(paths):
+            out = staged(out, "leaks")
+            if before is not None:
+                discard(before)
+            before = out
+    return out
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``row``, text, n_words, ``hits`` (start and end of hit word ranges, flat) and ``items`` (ids as strings, sorted)."""
+    rows = docs.select(row_of(docs).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    return _passes(rows, shards(benchmark, item_col, item_text_col, window)).select("row", "text", "n_words", "hits", "items")
 
 
 def cut(text: str, hits: list[int]) -> str:
@@ -235,28 +313,51 @@ def cut(text: str, hits: list[int]) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """``docs`` without leaked spans, and without documents of which a share of more
     than ``max_coverage`` of the words is hit.  Cutting can bring the two sides of a
-    span together; what then matches is cut as well, until nothing does."""
-    held = [docs.sparkSession.sparkContext.broadcast(vars(a)) for a in shards(benchmark, item_col, "text", window)]
-
-    @F.arrow_udf("struct<text:string,share:double>")
-    def cleaned(texts: pa.Array) -> pa.Array:
-        automata = [Automaton.of(h.value) for h in held]
-        out, shares = [], []
-        for text in texts.to_pylist():
-            share = 0.0
-            while text:
-                ws = words_of(text)
-                hits = merged([r for a in automata for r in a.scan(ws)[0]])
-                if not hits:
-                    break
-                share = share or sum(z - a for a, z in hits) / len(ws)
-                text = cut(text, [x for r in hits for x in r])
-            out.append(text)
-            shares.append(share)
-        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(shares, pa.float64())], ["text", "share"])
-
-    done = docs.select(row_of(docs).alias("row"), cleaned(F.col(f"`{text_col}`")).alias("own")).where(F.col("own.share") <= max_coverage)
-    return done.select(*[F.col("own.text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    span together; what then matches is cut as well, until nothing does.
+
+    With one automaton that is one pass.  With several, all pass over what is left before
+    it is cut, and only rows that were cut go round again."""
+    paths = shards(benchmark, item_col, "text", window)
+    rows = docs.select(row_of(docs).alias("row"), F.col(f"`{text_col}`").alias("text"), F.lit(None).cast("double").alias("share"))
+    back = lambda done: done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    if len(paths) == 1:
+        path = paths[0]
+
+        @F.arrow_udf("struct<text:string,share:double>")
+        def cleaned(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            scan = _matcher(path).scan
+            for batch in texts:
+                out, shares = [], []
+                for text in batch.to_pylist():
+                    share = 0.0
+                    while text:
+                        ws = words_of(text)
+                        hits = scan(ws)[0]
+                        if not hits:
+                            break
+                        share = share or sum(z - a for a, z in hits) / len(ws)
+                        text = cut(text, [x for r in hits for x in r])
+                    out.append(text)
+                    shares.append(share)
+                yield pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(shares, pa.float64())], ["text", "share"])
+
+        done = rows.select("row", cleaned("text").alias("own")).select("row", "own.*")
+        return back(done.where(F.col("share") <= max_coverage))
+
+    @F.arrow_udf("string")
+    def without(texts: pa.Array, hits: pa.Array) -> pa.Array:
+        return pa.array([cut(t, h) for t, h in zip(texts.to_pylist(), hits.to_pylist())], pa.string())
+
+    pairs = F.transform(F.sequence(F.lit(0), F.size("hits") - 1, F.lit(2)), lambda k: F.get("hits", k + 1) - F.get("hits", k))
+    finished = []
+    while True:
+        found = staged(_passes(rows.withColumn("own", F.col("text")).withColumn("text", F.coalesce("text", F.lit(""))), paths), "leaks")
+        finished.append(found.where("size(hits) = 0").select("row", F.col("own").alias("text"), "share"))
+        hit = found.where("size(hits) > 0").withColumn("share", F.coalesce("share", F.aggregate(pairs, F.lit(0), lambda a, x: a + x) / F.col("n_words")))
+        hit = hit.where(F.col("share") <= max_coverage)
+        if hit.isEmpty():
+            return back(reduce(DataFrame.unionByName, finished))
+        rows = hit.select("row", without("text", "hits").alias("text"), "share")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,15 +162,48 @@ def test_decontamination(docs, spark):
     assert clean[9] == "Start,  short. end" and clean[3] == "a b c" and clean[1] is None
     assert 9 not in {r["doc_id"] for r in decontaminate.decontaminate(more, bench).collect()}
     assert decontaminate.decontaminate(more, bench).columns == more.columns
-    assert decontaminate.find_leaks(more, bench.limit(0)).where(F.size("hits") > 0).count() == 0
+    nothing = {r["row"]["doc_id"]: r for r in decontaminate.find_leaks(more, bench.limit(0)).collect()}
+    assert not any(r["hits"] or r["items"] for r in nothing.values()) and nothing[9]["n_words"] == 21
     assert decontaminate.find_leaks(docs.limit(0), bench).count() == 0
 
 
 def test_decontamination_in_shards(docs, spark, monkeypatch):
     bench = spark.createDataFrame([(1, "a b c"), (2, "word word word word"), (3, "b c")], "item_id bigint, text string")
     whole = by_id(decontaminate.find_leaks(docs, bench, window=3).collect(), "n_words", "hits", "items")
+    clean = by_id(decontaminate.decontaminate(docs, bench, window=3).collect(), *docs.columns)
     monkeypatch.setattr(decontaminate, "SHARD_WORDS", 3)
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 12)
+    assert len(decontaminate.shards(bench, "item_id", "text", 3)) > 1
     assert by_id(decontaminate.find_leaks(docs, bench, window=3).collect(), "n_words", "hits", "items") == whole
+    assert by_id(decontaminate.decontaminate(docs, bench, window=3).collect(), *docs.columns) == clean
+
+
+def test_spans_that_cutting_brings_together(spark, monkeypatch):
+    """The items lie in different shards; what is left of one is cut in a later round."""
+    items = spark.createDataFrame([(1, "a b c d"), (2, "x y z"), (3, "k l m n o")], "item_id bigint, text string")
+    rows = spark.createDataFrame([(1, "p q r s t u v w a b x y z c d p q r s"), (2, "k l x y z m n o"), (3, None), (4, "a b c d, then much more that is no item of any kind")], "doc_id bigint, text string")
+    want = by_id(decontaminate.decontaminate(rows, items, window=3).collect(), "doc_id", "text")
+    assert [t.split() if t else t for _, t in want] == ["p q r s t u v w p q r s".split(), None, ", then much more that is no item of any kind".split()]
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 6)
+    assert len(decontaminate.shards(items, "item_id", "text", 3)) == 3
+    assert by_id(decontaminate.decontaminate(rows, items, window=3).collect(), "doc_id", "text") == want
+
+
+def test_memory_of_an_automaton():
+    """What a worker holds, by the word: bounded for a shard, whatever the benchmark's size."""
+    import pickle
+    import random
+    import tracemalloc
+
+    rng = random.Random(4)
+    items = [(str(k), [b"w%d" % int(rng.paretovariate(0.6)) for _ in range(100)]) for k in range(500)]
+    data = pickle.dumps(decontaminate.Automaton(items, 10).packed())
+    assert len(data) < 80 * 50_000
+    tracemalloc.start()
+    held = decontaminate.Matcher(pickle.loads(data))
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert size < 200 * 50_000 and held.scan(items[7][1])[0] == [(0, 100)]
 
 
 def test_automaton_against_brute_force():
@@ -188,7 +221,7 @@ def test_automaton_against_brute_force():
                     if words[j : j + m] == ws[i : i + m]:
                         hit |= set(range(j, j + m))
                         own.add(item)
-        ranges, found = decontaminate.Automaton(items, window).scan(words)
+        ranges, found = decontaminate.Matcher(decontaminate.Automaton(items, window).packed()).scan(words)
         assert {k for a, z in ranges for k in range(a, z)} == hit and found == own
 
 
