@@ -23,12 +23,17 @@ similarity is at least ``PERCENT`` / 100, and components of links are duplicates
     classes; each round is written to the shared folder.  A component is named by
     the smallest id of its classes.
 
+A class that many link to, or a label that many have, is one key of the joins above.
+Keys with more than ``HOT`` rows, of which there are at most ``MOST`` by the choice of that
+bound, are counted first; their rows are dealt over copies of what they join with
+(``spread_join``), so no task gets a third of all rows.
+
 A pair at exactly 0.75 shares no band with probability (1 - 0.75**4)**32, 5 in a
 million; pruning adds ``MISS``.  There is no cap on buckets, partners or candidates.
 
 Defined results: null and empty texts have no shingles and are linked with nothing;
 a text of fewer than five words is one shingle, the whole sequence; ties go to the
-smallest id; repeated rows keep their rows, and rows that share an id are one
+smallest id, in the order of the ids' own type; repeated rows keep their rows, and rows that share an id are one
 document for linking; rows with a null id are linked with nothing and kept; other
 columns are not read; empty tables give no rows.
 """
@@ -43,12 +48,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_of, staged, table, worker_cache
+from .common import discard, row_of, staged, table, worker_cache
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS, BATCH, MISS = 32, 4, 16, 1e-6
 HASHES = BANDS * ROWS
 BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
+#: Rows of a join key that one task takes; keys that may have more, and so may be broadcast.
+HOT, MOST = 256, 10_000
 #: Entries of the 0/1 matrices by which many pairs are verified at once.
 CELLS = 8_000_000
 CACHE_LIMIT, CACHED_BYTES = 300_000, 64
@@ -255,41 +262,66 @@ def _between(least: list[int]):
     return run
 
 
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """hot, copies: the keys of more rows than a task should get, and over how many they are dealt."""
+    limit = max(HOT, rows.count() // MOST)
+    counted = rows.groupBy(F.col(key).alias("hot")).agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    return staged(counted.select("hot", F.ceil(F.col("n") / limit).cast("int").alias("copies")), "near-hot")
+
+
+def spread_join(rows: DataFrame, found: DataFrame, key: str, by: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with the one row of ``found`` for each ``key``.  Rows of a hot key are dealt
+    by a hash of ``by`` over copies of what is found; ``hot`` has at most ``MOST`` rows."""
+    held = F.broadcast(hot)
+    dealt = rows.join(held, F.col(key) == F.col("hot"), "left").withColumn("part", F.pmod(F.xxhash64(by), F.coalesce("copies", F.lit(1))).cast("int")).drop("hot", "copies")
+    names = [c for c in found.columns if c != key]
+    copied = found.select(F.col(key).alias("found_key"), *names).join(held, F.col("found_key") == F.col("hot"), "left")
+    copied = copied.withColumn("found_part", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("hot", "copies")
+    return dealt.join(copied, (F.col(key) == F.col("found_key")) & (F.col("part") == F.col("found_part")), how).drop("part", "found_key", "found_part")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label (smallest node of its component) for the nodes of ``links`` (a, b)."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = staged(both, "near-links")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "near-labels")
+    before = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "near-labels")
+    labels, hot = before, hot_keys(both, "b")
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        stepped = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        above = labels.select(F.col("node").alias("n2"), F.col("label").alias("l2"))
-        jumped = stepped.join(above, F.col("label") == F.col("n2"), "left").select("node", "old", F.least("label", F.coalesce("l2", "label")).alias("label"))
+        near = spread_join(both, labels.select(F.col("node").alias("b"), "label"), "b", "a", hot).groupBy("a").agg(F.min("label").alias("near"))
+        stepped = staged(labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "near-steps")
+        above = labels.select(F.col("node").alias("label"), F.col("label").alias("l2"))
+        hot_labels = hot_keys(stepped, "label")
+        jumped = spread_join(stepped, above, "label", "node", hot_labels, "left").select("node", "old", F.least("label", F.coalesce("l2", "label")).alias("label"))
         done = staged(jumped, "near-labels")
-        labels = done.select("node", "label")
+        discard(before, stepped, hot_labels)
+        labels, before = done.select("node", "label"), done
         if done.where("label <> old").isEmpty():
+            discard(both, hot)
             return labels
 
 
 def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", miss: float = MISS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     least = least_matches(PERCENT / 100, miss)
-    signed = staged(source.mapInArrow(_signed, "doc_id bigint, n_shingles bigint, digest binary, signature binary"), "near-signed")
+    kind = source.schema["doc_id"].dataType.simpleString()
+    signed = staged(source.mapInArrow(_signed, f"doc_id {kind}, n_shingles bigint, digest binary, signature binary"), "near-signed")
     known = signed.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     # Written once, so that the numbers stay.
     classes = staged(known.groupBy("digest").agg(F.min("doc_id").alias("name")).withColumn("node", F.monotonically_increasing_id()), "near-classes")
     own = known.join(classes, (known.digest == classes.digest) & (known.doc_id == classes.name)).select("node", "name", classes.digest, "n_shingles", "signature").dropDuplicates(["node"])
     own = staged(own, "near-own")
     # Rows that share an id but not a set make their classes one component.
-    shared = known.join(classes, "digest").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.collect_set("node").alias("all"))
-    shared = shared.where("a < z").select("a", F.explode("all").alias("b")).where("a < b")
+    held = staged(known.join(classes, "digest").select("doc_id", F.col("node").alias("b")).distinct(), "near-held")
+    several = held.groupBy("doc_id").agg(F.min("b").alias("a"), F.max("b").alias("z")).where("a < z").select("doc_id", "a")
+    shared = spread_join(held, several, "doc_id", "b", hot_keys(held, "doc_id")).where("a < b").select("a", "b")
     width = 4 * ROWS
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("signature", k * width + 1, width)) for k in range(BANDS)])
     bands = own.select("node", F.posexplode(keys).alias("band", "key"))
     buckets = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
     members = staged(bands.join(buckets, "key").select("key", "band", "node", "pivot"), "near-members")
-    stars = members.where("node > pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    stars = staged(members.where("node > pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "near-stars")
+    centres = hot_keys(stars, "a")
 
     def signatures(end: str) -> DataFrame:
         return own.select(F.col("node").alias(end), F.col("signature").alias(f"signature_{end}"))
@@ -304,27 +336,29 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         sets = sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_linked, "a bigint, b bigint")
+        return spread_join(pairs.join(right, "b"), left, "a", "b", centres).select("a", "b", "x", "y").mapInArrow(_linked, "a bigint, b bigint")
 
-    likely = stars.join(signatures("a"), "a").join(signatures("b"), "b").select("a", "b", "signature_a", "signature_b").mapInArrow(_kept_pairs(least), "a bigint, b bigint")
+    likely = spread_join(stars.join(signatures("b"), "b"), signatures("a"), "a", "b", centres).select("a", "b", "signature_a", "signature_b").mapInArrow(_kept_pairs(least), "a bigint, b bigint")
     links = staged(verified(likely).unionByName(shared), "near-star-links")
+    discard(stars, centres, held)
     labels = components(links)
     # Buckets whose members the stars have not all joined.
     placed = members.join(labels, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label"))
     torn = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high AND size > 2").select("key")
     rest = staged(placed.join(torn, "key"), "near-torn")
     if not rest.isEmpty():
-        held = own.select("node", "n_shingles", "signature")
-        sizes = rest.join(held.select("node", "n_shingles"), "node").groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        slim = own.select("node", "n_shingles", "signature")
+        sizes = rest.join(slim.select("node", "n_shingles"), "node").groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
         dealt = rest.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         pairs_of = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j")))
         spread = dealt.select("key", "band", "block", "node", "label", F.explode(pairs_of).alias("p"))
-        spread = spread.join(held.select("node", "signature"), "node").join(sets_of(rest.select("node").distinct()), "node")
+        spread = spread.join(slim.select("node", "signature"), "node").join(sets_of(rest.select("node").distinct()), "node")
         found = spread.select("key", "band", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "node", "label", "signature", "shingles").groupBy("key", "band", "i", "j").applyInArrow(_between(least), "a bigint, b bigint")
         more = staged(found.distinct(), "near-more-links")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
     linked = staged(labels.join(classes, "node").select("digest", "label", "name"), "near-linked")
+    discard(members, own, rest, links)
     named = linked.join(linked.groupBy("label").agg(F.min("name").alias("least")), "label").select(F.col("digest").alias("d"), "least")
     placed = classes.join(named, F.col("digest") == F.col("d"), "left").select("digest", F.coalesce("least", "name").alias("component_id"))
     ids = signed.select("doc_id", "n_shingles", "digest")
@@ -337,7 +371,7 @@ def single_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: st
     id, null ids last, the first such row.  Rows that share an id are of one group,
     empty texts included; rows with a null id are linked by their texts."""
     rows = staged(docs.select(F.monotonically_increasing_id().alias("at"), row_of(docs).alias("row")), "near-rows")
-    slim = rows.select("at", F.col(f"row.`{id_col}`").cast("long").alias("own"))
+    slim = rows.select("at", F.col(f"row.`{id_col}`").alias("own"))
     found = find_near_duplicates(rows.select("at", F.col(f"row.`{text_col}`").alias("text")), "at", "text")
     placed = staged(slim.join(found.select("doc_id", "component_id"), slim.at == F.col("doc_id")).select("at", "own", F.col("component_id").alias("grp")), "near-placed")
     # Groups that share an id are one; ids of one group link nothing more.

@@ -204,6 +204,24 @@ def test_near_duplicates_query(spark, texts):
     assert {r["doc_id"]: (r["component_id"], r["n_shingles"], r["kept"]) for r in rows} == {i: (c, sizes[i], c == i) for i, c in want.items()}
 
 
+def test_hot_classes_are_dealt_over_tasks(spark, monkeypatch):
+    """A third of the rows link to one class; what joins on it is dealt, with the same result."""
+    monkeypatch.setattr(near_dup, "HOT", 10)
+    rng = random.Random(6)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
+    texts = {str(k): " ".join([*base[: k + 20], f"n{k}", *base[k + 21 :]]) for k in range(80)} | {f"x{k}": " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(40)) for k in range(100)}
+    docs = spark.createDataFrame([*texts.items(), ("5", texts["x3"]), *[("same", t) for k, t in texts.items() if k.startswith("x9")]], "doc_id string, text string")
+    want = components_of(texts)[0]
+    merged = {"5": "0", "x3": "0", "same": "same", **{k: "same" for k in texts if k.startswith("x9")}}
+    got = {(r["doc_id"], r["component_id"]) for r in near_dup.find_near_duplicates(docs).collect()}
+    assert got == {(k, merged.get(k, c)) for k, c in (want | {"same": "same"}).items()}
+    pairs, one = spark.range(100).selectExpr("id % 2 AS a", "id AS b"), spark.range(2).selectExpr("id AS a", "id + 7 AS x")
+    hot = near_dup.hot_keys(pairs, "a")
+    joined = near_dup.spread_join(pairs, one, "a", "b", hot)
+    assert {(r["hot"], r["copies"]) for r in hot.collect()} == {(0, 5), (1, 5)}
+    assert sorted(map(tuple, joined.select("a", "b", "x").collect())) == sorted((k % 2, k, k % 2 + 7) for k in range(100))
+
+
 def test_torn_buckets(spark, monkeypatch):
     """A chain of edits: neighbours are linked, the ends aren't; blocks of a few members."""
     monkeypatch.setattr(near_dup, "BLOCK", 4)
