@@ -24,9 +24,9 @@ similarity is at least ``PERCENT`` / 100, and components of links are duplicates
     the smallest id of its classes.
 
 A class that many link to, or a label that many have, is one key of the joins above.
-Keys with more than ``HOT`` rows, of which there are at most ``MOST`` by the choice of that
-bound, are counted first; their rows are dealt over copies of what they join with
-(``spread_join``), so no task gets a third of all rows.
+The ``MOST`` most frequent keys are counted first; where they have more than ``HOT`` rows,
+these are dealt over up to ``SPREAD`` copies of what they join with (``spread_join``), so no
+task gets a third of all rows.
 
 A pair at exactly 0.75 shares no band with probability (1 - 0.75**4)**32, 5 in a
 million; pruning adds ``MISS``.  There is no cap on buckets, partners or candidates.
@@ -54,8 +54,9 @@ WORDS, PERCENT = 5, 75
 BANDS, ROWS, BATCH, MISS = 32, 4, 16, 1e-6
 HASHES = BANDS * ROWS
 BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
-#: Rows of a join key that one task takes; keys that may have more, and so may be broadcast.
-HOT, MOST = 256, 10_000
+#: Rows from which on a join key is dealt, how many such keys (a task gets less than one in MOST of
+#: all rows by any other), and over how many tasks at most.
+HOT, MOST, SPREAD = 256, 10_000, 1000
 #: Entries of the 0/1 matrices by which many pairs are verified at once.
 CELLS = 8_000_000
 CACHE_LIMIT, CACHED_BYTES = 300_000, 64
@@ -262,16 +263,19 @@ def _between(least: list[int]):
     return run
 
 
-def hot_keys(rows: DataFrame, key: str) -> DataFrame:
-    """hot, copies: the keys of more rows than a task should get, and over how many they are dealt."""
-    limit = max(HOT, rows.count() // MOST)
-    counted = rows.groupBy(F.col(key).alias("hot")).agg(F.count("*").alias("n")).where(F.col("n") > limit)
-    return staged(counted.select("hot", F.ceil(F.col("n") / limit).cast("int").alias("copies")), "near-hot")
+def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:
+    """hot, copies: of the ``MOST`` most frequent keys those of more rows than a task should get,
+    and over how many tasks they are dealt; None where there are none."""
+    counted = rows.groupBy(F.col(key).alias("hot")).agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    top = counted.orderBy(F.col("n").desc()).limit(MOST).select("hot", F.least(F.ceil(F.col("n") / HOT), F.lit(SPREAD)).cast("int").alias("copies")).collect()
+    return rows.sparkSession.createDataFrame(top, f"hot {rows.schema[key].dataType.simpleString()}, copies int") if top else None
 
 
-def spread_join(rows: DataFrame, found: DataFrame, key: str, by: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, found: DataFrame, key: str, by: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
     """``rows`` joined with the one row of ``found`` for each ``key``.  Rows of a hot key are dealt
     by a hash of ``by`` over copies of what is found; ``hot`` has at most ``MOST`` rows."""
+    if hot is None:
+        return rows.join(found, key, how)
     held = F.broadcast(hot)
     dealt = rows.join(held, F.col(key) == F.col("hot"), "left").withColumn("part", F.pmod(F.xxhash64(by), F.coalesce("copies", F.lit(1))).cast("int")).drop("hot", "copies")
     names = [c for c in found.columns if c != key]
@@ -288,15 +292,15 @@ def components(links: DataFrame) -> DataFrame:
     labels, hot = before, hot_keys(both, "b")
     while True:
         near = spread_join(both, labels.select(F.col("node").alias("b"), "label"), "b", "a", hot).groupBy("a").agg(F.min("label").alias("near"))
-        stepped = staged(labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "near-steps")
+        stepped = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         above = labels.select(F.col("node").alias("label"), F.col("label").alias("l2"))
-        hot_labels = hot_keys(stepped, "label")
-        jumped = spread_join(stepped, above, "label", "node", hot_labels, "left").select("node", "old", F.least("label", F.coalesce("l2", "label")).alias("label"))
+        # Labels only merge, so those that were frequent are the ones that are.
+        jumped = spread_join(stepped, above, "label", "node", hot_keys(labels, "label"), "left").select("node", "old", F.least("label", F.coalesce("l2", "label")).alias("label"))
         done = staged(jumped, "near-labels")
-        discard(before, stepped, hot_labels)
+        discard(before)
         labels, before = done.select("node", "label"), done
         if done.where("label <> old").isEmpty():
-            discard(both, hot)
+            discard(both)
             return labels
 
 
@@ -312,9 +316,12 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     own = known.join(classes, (known.digest == classes.digest) & (known.doc_id == classes.name)).select("node", "name", classes.digest, "n_shingles", "signature").dropDuplicates(["node"])
     own = staged(own, "near-own")
     # Rows that share an id but not a set make their classes one component.
-    held = staged(known.join(classes, "digest").select("doc_id", F.col("node").alias("b")).distinct(), "near-held")
-    several = held.groupBy("doc_id").agg(F.min("b").alias("a"), F.max("b").alias("z")).where("a < z").select("doc_id", "a")
-    shared = spread_join(held, several, "doc_id", "b", hot_keys(held, "doc_id")).where("a < b").select("a", "b")
+    several = known.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("z")).where("x < z").select("doc_id", F.col("x").alias("digest"))
+    shared = None
+    if not several.isEmpty():
+        firsts = several.join(classes, "digest").select("doc_id", F.col("node").alias("a"))
+        held = staged(known.join(classes, "digest").select("doc_id", F.col("node").alias("b")).distinct(), "near-held")
+        shared = spread_join(held, firsts, "doc_id", "b", hot_keys(held, "doc_id")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     width = 4 * ROWS
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("signature", k * width + 1, width)) for k in range(BANDS)])
     bands = own.select("node", F.posexplode(keys).alias("band", "key"))
@@ -339,8 +346,9 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return spread_join(pairs.join(right, "b"), left, "a", "b", centres).select("a", "b", "x", "y").mapInArrow(_linked, "a bigint, b bigint")
 
     likely = spread_join(stars.join(signatures("b"), "b"), signatures("a"), "a", "b", centres).select("a", "b", "signature_a", "signature_b").mapInArrow(_kept_pairs(least), "a bigint, b bigint")
-    links = staged(verified(likely).unionByName(shared), "near-star-links")
-    discard(stars, centres, held)
+    links = verified(likely)
+    links = staged(links if shared is None else links.unionByName(shared), "near-star-links")
+    discard(stars)
     labels = components(links)
     # Buckets whose members the stars have not all joined.
     placed = members.join(labels, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label"))

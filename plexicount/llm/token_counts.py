@@ -118,6 +118,8 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if counts:
                 total.update(dict(zip(words.split("\n"), counts)))
+                if len(total) > 8 * TABLE:
+                    total = _pruned(total, 2 * TABLE)
     yield _as_row(_pruned(total, TABLE))
 
 
@@ -125,8 +127,8 @@ def frequent_pretokens(docs: DataFrame, text_col: str = "text", fan_in: int = 32
     """At most ``TABLE`` pre-tokens that are frequent over all documents.  Each task
     sends one sketch of at most ``SKETCH`` words; sketches are merged ``fan_in`` at a time."""
     kind = "words string, counts array<bigint>"
-    sketches = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(_sketch, kind)
-    parts = max(1, docs.select().count() // 2000)
+    texts = docs.select(F.col(f"`{text_col}`").alias("text"))
+    sketches, parts = texts.mapInArrow(_sketch, kind), max(1, texts.rdd.getNumPartitions())
     while parts > fan_in:
         parts = -(-parts // fan_in)
         sketches = sketches.repartition(parts).mapInArrow(_merged, kind)

@@ -144,6 +144,55 @@ def test_gradients():
         assert (losses[0] - losses[1]) / (2 * step) == pytest.approx(grads[name][at], rel=0.05, abs=1e-2)
 
 
+def path(name):
+    return pytest.importorskip("public_tokenizers").path(name)
+
+
+def test_packing_query(spark, texts):
+    """All pieces of the table as the library makes them, gapless, in about as few sequences as one best fit over all of them."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path("word_bpe_49k.json"))
+    want = {}
+    for i, text in texts.items():
+        ids = np.array([*tok.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        for k in range(-(-len(ids) // 2048)):
+            some = ids[2048 * k : 2048 * (k + 1)]
+            want[i, k] = (2048 * k, len(some), zlib.crc32(some.tobytes()))
+    rows = packing.op1_best_fit_packing(spark, DATA).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == want and len(rows) == len(want)
+    held = collections.defaultdict(list)
+    for r in rows:
+        held[r["sequence_id"]].append((r["offset"], r["length"]))
+    for pieces in held.values():
+        pieces.sort()
+        assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:k]) for k in range(len(pieces))] and sum(pieces[-1]) <= 2048
+    assert len(held) <= 1 + len(packing.best_fit([n for _, n, _ in want.values()], 2048))
+
+
+@pytest.mark.parametrize("parts", [1, 8, 40])
+def test_sequences_of_many_partitions(spark, parts):
+    """However the table is dealt, the bins that meet in the tree leave few more than one best fit."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").repartition(parts)
+    rows = packing.pack(docs, path("word_bpe_49k.json")).select("sequence_id", "length").collect()
+    fewest = max(len(packing.best_fit([r["length"] for r in rows], 2048)), -(-sum(r["length"] for r in rows) // 2048))
+    assert len({r["sequence_id"] for r in rows}) <= 1.02 * fewest + 1
+
+
+def test_token_count_query(spark, texts):
+    """Each document's count is the library's, over the whole table."""
+    import sentencepiece
+
+    from plexicount.llm import token_counts
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
+    rows = token_counts.op9_token_counts(spark, DATA).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        n = len(model.encode(texts[r["doc_id"]]))
+        assert (r["n_tokens"], r["n_bytes"], r["over_limit"]) == (n, len(texts[r["doc_id"]].encode()), n > 4096)
+
+
 def test_lm_query(spark, texts):
     uni, bi = collections.Counter(), collections.Counter()
     words = {i: [lm_scoring.END, *t.encode().lower().split(), lm_scoring.END] for i, t in texts.items()}
