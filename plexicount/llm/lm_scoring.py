@@ -1,9 +1,10 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-The model is an interpolated bigram model over all training documents: level 1 of the trie
-holds words, level 2 their successors.  Both levels are sharded files in the shared
-folder, which workers map into memory; nothing of the model passes the driver but one
-small row of figures per shard, and nothing of it is broadcast.
+The model is an interpolated n-gram model over all training documents, of order 2 or 3:
+level 1 of the trie holds words, level 2 their successors, level 3 the successors of
+pairs.  Levels are sharded files in the shared folder, which workers map into memory;
+nothing of the model passes the driver but one small row of figures per shard, and
+nothing of it is broadcast.
 
 Level 1 (shards by range of the words' 64-bit hashes): the sorted hashes, the
 cumulative counts (both Elias-Fano coded) and the quantised back-off weight of each
@@ -11,21 +12,25 @@ word; a word's rank over all shards is its id.  Level 2 (shards by hash of the p
 so that the successors of a frequent word spread over all of them): the contexts,
 monotone pointers to where the successors of each begin, the successors, coded
 relative to their context as one monotone sequence, and their quantised discounted
-probabilities.  A query finds its context, then the successor of its word in the
-context's range.
+probabilities.  Level 3 lies in the shard of its context, the pair: a pointer for each
+pair of that shard, successors relative to the pair's place, probabilities, and the pair's
+back-off weight.  A query finds its context, then searches for the successor of its
+word between the context's pointers.
 
-p(w | v) = max(n(v w) - D, 0) / n(v) + D t(v) / n(v) p(w), t: distinct successors,
-p(w) = (n(w) + 0.1) / (N + 0.1 (V + 1)).  An end stands after each text and before the
-next, as context of its first word.  Probabilities are kept in 65,536 steps of log10.
+p(w | u v) = max(n(u v w) - D, 0) / n(u v) + D t(u v) / n(u v) p(w | v), t: distinct
+successors; p(w | v) likewise, down to p(w) = (n(w) + 0.1) / (N + 0.1 (V + 1)).  An end
+stands after each text and before the next, as context of its first word; a context of
+two words doesn't reach across it.  Probabilities are kept in 65,536 steps of log10.
 
 Counting combines in the task: only sorted distinct keys with their counts travel,
 delta-coded.  Shards grow in number with the input's partitions, so neither a task's
-memory nor a file grows with the corpus.
+memory nor a file grows with the corpus.  Where the shared folder can't be mapped, a
+worker holds at most ``HELD_BYTES`` of shards and reads the others again.
 
 Defined results: null text counts as empty (one token, the end); a null id counts as
-the empty text, whose remainder is 0, so the row is held out; texts are whole whatever
-their length; repeated rows count and score each; with no training document all words
-are unknown; other columns are not read; empty tables give no rows.
+the empty text, whose remainder is 0, so the row is held out; ids may be of any type; texts
+are whole whatever their length; repeated rows count and score each; with no training
+document all words are unknown; other columns are not read; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -33,21 +38,22 @@ from __future__ import annotations
 import json
 from collections import Counter
 from collections.abc import Iterator
-from urllib.parse import urlparse
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, staged, table, worker_cache
+from .common import discard, filesystem, fresh_dir, read_whole, staged, table, worker_cache, write_whole
 
 END = b" end"  # no word has a space
 DISCOUNT, ADDED = 0.75, 0.1
 STEPS, LOWEST = 65535, -16.0
 #: Words that are worked on together, pairs after which a task sends on its counts, words of a worker's cache.
-TOGETHER, FLUSH, CACHED = 200_000, 4_000_000, 400_000
+TOGETHER, FLUSH, CACHED = 400_000, 4_000_000, 400_000
+ORDER = 3
+#: Bytes of shards that a worker keeps where it can't map them.
+HELD_BYTES = 256 << 20
 U = np.uint64
 
 
@@ -119,8 +125,8 @@ class EliasFano:
         at = self._bit(~self.high[word], k - self.zeros[word])
         return np.where(some, word * 64 + at.astype(np.int64) - k.astype(np.int64), 0)
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Index of each x, or -1: the successor search of its bucket's values."""
+    def find(self, x: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """Index of each x, or -1: the successor search of its bucket's values, between ``begin`` and ``end`` if given."""
         out = np.full(len(x), -1, np.int64)
         if not self.n or not len(x):
             return out
@@ -129,21 +135,24 @@ class EliasFano:
         inside = np.flatnonzero((x >> U(self.width)) < top)
         bucket = (x[inside] >> U(self.width)).astype(np.int64)
         lo, hi = self._begin(bucket), self._begin(bucket + 1)
+        if begin is not None:
+            lo, hi = np.maximum(lo, begin[inside]), np.minimum(hi, end[inside])
         wanted = x[inside] & U((1 << self.width) - 1)
         while len(inside):
+            on = np.flatnonzero(lo < hi)
+            inside, wanted, lo, hi = inside[on], wanted[on], lo[on], hi[on]
             mid = (lo + hi) >> 1
-            open_ = lo < hi
-            value = self._low(np.where(open_, mid, 0))
-            out[inside[open_ & (value == wanted)]] = mid[open_ & (value == wanted)]
-            on = open_ & (value != wanted)
+            value = self._low(mid)
+            hit = value == wanted
+            out[inside[hit]] = mid[hit]
             up = value < wanted
-            lo, hi = np.where(up, mid + 1, lo)[on], np.where(up, hi, mid)[on]
-            inside, wanted = inside[on], wanted[on]
+            lo, hi = np.where(up, mid + 1, lo), np.where(up, hi, mid)
+            hi[hit] = lo[hit]
         return out
 
 
 def write_level(path: str, parts: dict[str, np.ndarray]) -> None:
-    """Arrays in one file: header, then each, aligned.  The file appears whole or not at all."""
+    """Arrays in one file: header, then each, aligned."""
     head, at, bodies = {}, 0, []
     for name, array in parts.items():
         array = np.ascontiguousarray(array)
@@ -152,34 +161,17 @@ def write_level(path: str, parts: dict[str, np.ndarray]) -> None:
         at += len(bodies[-1])
     text = json.dumps(head).encode()
     text = len(text).to_bytes(8, "little") + text
-    fs, place = _filesystem(path)
-    fs.create_dir(place.rpartition("/")[0], recursive=True)
-    with fs.open_output_stream(temporary := f"{place}.{uuid4().hex}") as out:
-        for body in (text, bytes(-len(text) % 64), *bodies):
-            out.write(body)
-    fs.move(temporary, place)
+    write_whole(path, (text, bytes(-len(text) % 64), *bodies))
 
 
-def _filesystem(path: str):
-    import pyarrow.fs as pafs
-
-    uri = urlparse(path)
-    if uri.scheme in ("", "file"):
-        return pafs.LocalFileSystem(), uri.path
-    return pafs.FileSystem.from_uri(path)
-
-
-def open_level(path: str) -> dict[str, np.ndarray]:
-    """The arrays of a level, mapped into memory where the shared folder is a file system."""
-    fs, place = _filesystem(path)
-    if fs.type_name == "local":
-        data = np.memmap(place, np.uint8, "r")
-    else:
-        with fs.open_input_file(place) as f:
-            data = np.frombuffer(f.read(), np.uint8)
+def open_level(path: str) -> tuple[dict[str, np.ndarray], int]:
+    """The arrays of a level, mapped into memory where the shared folder is a file system, and the bytes that takes where it isn't."""
+    fs, place = filesystem(path)
+    mapped = fs.type_name == "local"
+    data = np.memmap(place, np.uint8, "r") if mapped else np.frombuffer(read_whole(path), np.uint8)
     size = int.from_bytes(data[:8].tobytes(), "little")
     head, start = json.loads(data[8 : 8 + size].tobytes()), (8 + size + 63) // 64 * 64
-    return {k: data[start + at : start + at + n * np.dtype(kind).itemsize].view(kind) for k, (kind, n, at) in head.items()}
+    return {k: data[start + at : start + at + n * np.dtype(kind).itemsize].view(kind) for k, (kind, n, at) in head.items()}, 0 if mapped else len(data)
 
 
 def _coded(prefix: str, arrays: dict) -> dict:
@@ -205,22 +197,31 @@ def hashes(words: list[bytes]) -> np.ndarray:
 
 
 class Trie:
-    """Both levels, by the figures of their shards.  Files are opened when first needed."""
+    """All levels, by the figures of their shards.  Files are opened when first needed."""
 
     def __init__(self, figures: dict):
-        self.figures, self.files = figures, {}
+        self.figures, self.files, self.held = figures, {}, 0
         self.vocabulary, self.tokens = figures["vocabulary"], figures["tokens"]
         self.offsets = np.asarray(figures["offsets"], np.int64)
         self.word_bits = (len(self.offsets) - 1).bit_length()
 
     def _file(self, name: str) -> dict | None:
-        if name not in self.files:
-            if name.split("-")[1] not in self.figures[name.split("-")[0]]:
-                self.files[name] = None
-            else:
-                arrays = open_level(f"{self.figures['path']}/{name}")
-                self.files[name] = {k: _decoded(k, arrays) for k in {x.split(".")[0] for x in arrays if "." in x}} | {k: v for k, v in arrays.items() if "." not in k}
-        return self.files[name]
+        level, shard = name.split("-")
+        if shard not in self.figures[level]:
+            return None
+        if name in self.files:
+            # The last used come last.
+            self.files[name] = made = self.files.pop(name)
+            return made[0]
+        arrays, size = open_level(f"{self.figures['path']}/{name}")
+        self.held += size
+        for old in list(self.files):
+            if self.held <= HELD_BYTES:
+                break
+            self.held -= self.files.pop(old)[1]
+        made = {k: _decoded(k, arrays) for k in {x.split(".")[0] for x in arrays if "." in x}} | {k: v for k, v in arrays.items() if "." not in k}
+        self.files[name] = (made, size)
+        return made
 
     def _by_word_shard(self, ranks: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         shard = np.searchsorted(self.offsets, ranks, "right") - 1
@@ -251,24 +252,43 @@ class Trie:
             out[on] = _value(self._file(f"backoffs-{s}")["codes"][ranks[on] - self.offsets[s]])
         return out
 
-    def discounted(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The discounted probability of each pair; 0 where it was never seen."""
-        out = np.zeros(len(contexts))
+    def pairs(self, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each pair its shard, its place there (-1 if it was never seen) and its discounted probability (then 0)."""
+        out, place = np.zeros(len(contexts)), np.full(len(contexts), -1, np.int64)
         shard = pair_shard(contexts.astype(U) * U(self.vocabulary) + words.astype(U), self.figures["pair_shards"])
-        order = np.argsort(shard, kind="stable")
-        for on in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-            file = self._file(f"pairs-{shard[on[0]]}") if len(on) else None
+        for s, on in _by_shard(shard):
+            file = self._file(f"pairs-{s}")
             if not file:
                 continue
             context = file["contexts"].find(contexts[on])
             on, context = on[context >= 0], context[context >= 0]
-            if not len(on):
-                continue
             begin, end = (file["pointers"].get(context + k).astype(np.int64) for k in (0, 1))
-            at = file["successors"].find(context.astype(U) * U(self.vocabulary) + words[on].astype(U))
-            hit = (at >= begin) & (at < end)
-            out[on[hit]] = _value(file["codes"][at[hit]])
-        return out
+            at = file["successors"].find(context.astype(U) * U(self.vocabulary) + words[on].astype(U), begin, end)
+            place[on] = at
+            on, at = on[at >= 0], at[at >= 0]
+            out[on] = _value(file["codes"][at])
+        return shard, place, out
+
+    def triples(self, shard: np.ndarray, place: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs, by shard and place, each with a word that follows: the discounted probability (0 if never seen) and the pair's back-off weight."""
+        out, weight = np.zeros(len(shard)), np.ones(len(shard))
+        for s, on in _by_shard(shard):
+            file = self._file(f"triples-{s}")
+            if not file:
+                continue
+            weight[on] = _value(file["backoffs"][place[on]])
+            on = on[words[on] >= 0]
+            begin, end = (file["pointers"].get(place[on] + k).astype(np.int64) for k in (0, 1))
+            at = file["successors"].find(place[on].astype(U) * U(self.vocabulary) + words[on].astype(U), begin, end)
+            on, at = on[at >= 0], at[at >= 0]
+            out[on] = _value(file["codes"][at])
+        return out, weight
+
+
+def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(shard, kind="stable")
+    for on in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else []:
+        yield int(shard[on[0]]), on
 
 
 def pair_shard(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -282,8 +302,7 @@ def _sent(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator[p
     rows = []
     for on in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else []:
         steps = np.diff(keys[on])
-        narrow = lambda x: x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0)).tobytes()
-        rows.append((int(shard[on[0]]), int(keys[on[0]].astype(np.int64)), len(on), narrow(steps), narrow(counts[on])))
+        rows.append((int(shard[on[0]]), int(keys[on[0]].astype(np.int64)), len(on), _narrow(steps), _narrow(counts[on])))
     if rows:
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["shard", "first", "n", "steps", "counts"])
 
@@ -295,9 +314,8 @@ def _received(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The sum of what tasks sent to a shard: sorted distinct keys, counts."""
     keys, counts = [], []
     for first, n, steps, count in zip(*[group.column(c).to_pylist() for c in ("first", "n", "steps", "counts")]):
-        wide = lambda b, k: np.frombuffer(b, f"<u{len(b) // k}").astype(U) if k else np.empty(0, U)
-        keys.append(np.cumsum(np.r_[np.array([first], np.int64).view(U), wide(steps, n - 1)], dtype=U))
-        counts.append(wide(count, n).astype(np.int64))
+        keys.append(np.cumsum(np.r_[np.array([first], np.int64).view(U), _wide(steps, n - 1)], dtype=U))
+        counts.append(_wide(count, n).astype(np.int64))
     return summed(np.concatenate(keys), np.concatenate(counts))
 
 
@@ -308,6 +326,52 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts[order], first)
 
 
+SENT3 = "shard bigint, first bigint, n bigint, steps binary, spans binary, words binary, counts binary"
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0)).tobytes()
+
+
+def _wide(b: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(b, f"<u{len(b) // n}").astype(U) if n else np.empty(0, U)
+
+
+def _summed_triples(pairs: np.ndarray, words: np.ndarray, counts: np.ndarray | None, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct pairs, how many successors each has, these, and their counts."""
+    distinct, place = np.unique(pairs, return_inverse=True)
+    keys = place.astype(U) * U(vocabulary) + words
+    if counts is None:
+        keys, counts = np.unique(keys, return_counts=True)
+    else:
+        keys, counts = summed(keys, counts)
+    place = (keys // U(vocabulary)).astype(np.int64)
+    return distinct, np.bincount(place, minlength=len(distinct)), keys % U(vocabulary), counts
+
+
+def _sent_triples(pairs: np.ndarray, spans: np.ndarray, words: np.ndarray, counts: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+    ends, rows = np.cumsum(spans), []
+    for shard, on in _by_shard(pair_shard(pairs, shards)):
+        # The successors of the shard's pairs, which lie in stretches.
+        starts, sizes = (ends - spans)[on], spans[on]
+        inner = np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+        rows.append((shard, int(pairs[on[0]].astype(np.int64)), len(on), _narrow(np.diff(pairs[on])), _narrow(sizes), _narrow(words[inner]), _narrow(counts[inner])))
+    if rows:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4)
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [c.split()[0] for c in SENT3.split(", ")])
+
+
+def _received_triples(group: pa.Table, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    pairs, words, counts = [], [], []
+    for first, n, steps, spans, word, count in zip(*[group.column(c).to_pylist() for c in ("first", "n", "steps", "spans", "words", "counts")]):
+        keys = np.cumsum(np.r_[np.array([first], np.int64).view(U), _wide(steps, n - 1)], dtype=U)
+        sizes = _wide(spans, n).astype(np.int64)
+        pairs.append(np.repeat(keys, sizes))
+        words.append(_wide(word, int(sizes.sum())))
+        counts.append(_wide(count, int(sizes.sum())).astype(np.int64))
+    return _summed_triples(np.concatenate(pairs), np.concatenate(words), np.concatenate(counts), vocabulary)
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
@@ -350,7 +414,7 @@ def _count_words(bits: int):
 def _trie_of(figures: dict) -> Trie:
     held = worker_cache("lm_scoring")
     # While a trie is built the same path comes with more and more levels.
-    key = (figures["path"], len(figures["pairs"]), len(figures["backoffs"]))
+    key = (figures["path"], len(figures["pairs"]), len(figures["backoffs"]), len(figures["triples"]))
     if key not in held:
         held.clear()
         held[key] = (Trie(figures), {})
@@ -393,7 +457,36 @@ def _count_pairs(figures: dict):
     return run
 
 
-def _score(figures: dict):
+def _inner(ranks: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Places, in the sequence, of the words whose two predecessors are in their text or the end before it."""
+    return np.setdiff1d(np.arange(1, len(ranks)), np.r_[0, ends[:-1]] + 1, assume_unique=True)
+
+
+def _count_triples(figures: dict):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, known = _trie_of(figures)
+        held, size, v = [], 0, U(max(figures["vocabulary"], 1))
+
+        def send() -> Iterator[pa.RecordBatch]:
+            pairs, words = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            yield from _sent_triples(*_summed_triples(pairs, words, None, int(v)), figures["pair_shards"])
+
+        for _, words in _pieces(batches):
+            ranks, ends = _ranked(trie, known, words)
+            at = _inner(ranks, ends)
+            ranks = ranks.astype(U)
+            held.append((ranks[at - 2] * v + ranks[at - 1], ranks[at]))
+            size += len(at)
+            if size >= FLUSH:
+                yield from send()
+                held, size = [], 0
+        if size:
+            yield from send()
+
+    return run
+
+
+def _score(figures: dict, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, known = _trie_of(figures)
         total = trie.tokens + ADDED * (trie.vocabulary + 1)
@@ -405,28 +498,40 @@ def _score(figures: dict):
             count[seen], weight[seen] = trie.counts(distinct[seen]), trie.backoffs(distinct[seen])
             p, n, alpha = ((count + ADDED) / total)[place[1:]], count[place[1:]], weight[place[:-1]]
             both = np.flatnonzero((ranks[:-1] >= 0) & (ranks[1:] >= 0))
-            seen_part = np.zeros(len(p))
-            seen_part[both] = trie.discounted(ranks[:-1][both], ranks[1:][both])
+            seen_part, shard, at = np.zeros(len(p)), np.zeros(len(p), np.int64), np.full(len(p), -1, np.int64)
+            # Frequent pairs are looked up once.
+            keys, back = np.unique(ranks[both] * trie.vocabulary + ranks[both + 1], return_inverse=True)
+            found = trie.pairs(keys // max(trie.vocabulary, 1), keys % max(trie.vocabulary, 1))
+            shard[both], at[both], seen_part[both] = (f[back] for f in found)
+            q = seen_part + alpha * p
+            if figures["order"] > 2:
+                inner = _inner(ranks, ends) - 1
+                # The pair before each word, where it is known; an unknown word is only weighted.
+                inner = inner[at[inner - 1] >= 0]
+                longer, rest = trie.triples(shard[inner - 1], at[inner - 1], ranks[inner + 1])
+                q[inner] = longer + rest * q[inner]
             # A text's first word follows an end, which is what stands before it in the sequence.
             starts = np.r_[0, ends[:-1]]
             sums = lambda x: np.add.reduceat(x, starts)
-            columns = [pa.array(c) for c in zip(*rows)]
+            columns = list(zip(*rows))
             yield pa.record_batch([
-                columns[0].cast(pa.int64()), columns[1].cast(pa.bool_()), pa.array(np.diff(np.r_[0, ends]), pa.int64()), pa.array(sums((n > 0).astype(np.int64)), pa.int64()),
-                pa.array(np.full(len(rows), trie.tokens), pa.int64()), pa.array(sums(np.log10(p))), pa.array(sums(np.log10(seen_part + alpha * p))),
+                pa.array(columns[0], kind), pa.array(columns[1], pa.bool_()), pa.array(np.diff(np.r_[0, ends]), pa.int64()), pa.array(sums((n > 0).astype(np.int64)), pa.int64()),
+                pa.array(np.full(len(rows), trie.tokens), pa.int64()), pa.array(sums(np.log10(p))), pa.array(sums(np.log10(q))),
             ], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
-def train(docs: DataFrame, text_col: str = "text") -> dict:
-    """Builds both levels over all rows of ``docs``; gives the figures that a ``Trie`` opens them by."""
+def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> dict:
+    """Builds the levels over all rows of ``docs``; gives the figures that a ``Trie`` opens them by."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{text_col}`").alias("text"))
     path = fresh_dir(spark, "lm-trie")
     parts = max(2, texts.rdd.getNumPartitions())
     bits = max(1, (parts // 4).bit_length())
-    figures = {"path": path, "pair_shards": parts, "words": {}, "pairs": {}, "backoffs": {}}
+    figures = {"path": path, "order": order, "pair_shards": 2 * parts, "words": {}, "pairs": {}, "backoffs": {}, "triples": {}}
 
     def word_level(key, group):
         keys, counts = _received(group)
@@ -467,17 +572,40 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
         write_level(f"{path}/backoffs-{shard}", {"codes": codes})
         return pa.table({"shard": pa.array([shard], pa.int64())})
 
+    def triple_level(key, group):
+        trie, _ = _trie_of(figures)
+        shard, v = key[0].as_py(), U(max(trie.vocabulary, 1))
+        pairs, spans, words, counts = _received_triples(group, int(v))
+        _, place, _ = trie.pairs((pairs // v).astype(np.int64), (pairs % v).astype(np.int64))
+        size = trie._file(f"pairs-{shard}")["successors"].n
+        owner = np.repeat(np.arange(len(pairs)), spans)
+        total = np.bincount(owner, counts, len(pairs))
+        pointers = np.zeros(size + 1, np.int64)
+        pointers[place + 1] = spans
+        backoffs = np.full(size, STEPS, np.uint16)
+        backoffs[place] = quantised(np.log10(DISCOUNT * spans / total))
+        parts = _coded("pointers", EliasFano.arrays(np.cumsum(pointers), len(words))) | _coded("successors", EliasFano.arrays(place[owner].astype(U) * v + words, size * int(v)))
+        write_level(f"{path}/triples-{shard}", parts | {"codes": quantised(np.log10(np.maximum(counts - DISCOUNT, 1e-9) / total[owner])), "backoffs": backoffs})
+        return pa.table({"shard": pa.array([shard], pa.int64())})
+
     if made:
         spread = staged(texts.mapInArrow(_count_pairs(figures), SENT).groupBy("shard").applyInArrow(pair_level, SENT), "lm-pairs")
         figures["pairs"] = {str(-1 - r["shard"]): 1 for r in spread.where("shard < 0").select("shard").collect()}
         done = spread.where("shard >= 0").groupBy("shard").applyInArrow(backoff_level, "shard bigint").collect()
         figures["backoffs"] = {str(r["shard"]): 1 for r in done}
+        discard(spread)
+    if figures["pairs"] and order > 2:
+        done = texts.mapInArrow(_count_triples(figures), SENT3).groupBy("shard").applyInArrow(triple_level, "shard bigint").collect()
+        figures["triples"] = {str(r["shard"]): 1 for r in done}
     return figures
 
 
 def score(docs: DataFrame, figures: dict) -> DataFrame:
     """docs: doc_id, held_out, text.  One row per document with its counts and log10 probabilities."""
-    return docs.select("doc_id", "held_out", "text").mapInArrow(_score(figures), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = docs.schema["doc_id"].dataType
+    return docs.select("doc_id", "held_out", "text").mapInArrow(_score(figures, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,22 +194,46 @@ def test_token_count_query(spark, texts):
 
 
 def test_lm_query(spark, texts):
-    uni, bi = collections.Counter(), collections.Counter()
+    uni, bi, tri = collections.Counter(), collections.Counter(), collections.Counter()
     words = {i: [lm_scoring.END, *t.encode().lower().split(), lm_scoring.END] for i, t in texts.items()}
     for i, w in words.items():
         if zlib.crc32(str(i).encode()) % 10:
             uni.update(w[1:])
             bi.update(zip(w, w[1:]))
+            tri.update(zip(w, w[1:], w[2:]))
     kinds, n, v = collections.Counter(a for a, _ in bi), sum(uni.values()), len(uni)
+    kinds2, totals2 = collections.Counter((a, b) for a, b, _ in tri), collections.Counter()
+    for (a, b, _), k in tri.items():
+        totals2[a, b] += k
     p = lambda w: (uni[w] + 0.1) / (n + 0.1 * (v + 1))
+    p2 = lambda a, b: ((bi[a, b] - 0.75) / uni[a] if bi[a, b] else 0) + (0.75 * kinds[a] / uni[a] if uni[a] else 1) * p(b)
+
+    def p3(a, b, c):
+        total = totals2[a, b] if b != lm_scoring.END else 0
+        return ((tri[a, b, c] - 0.75) / total if tri[a, b, c] else 0) + 0.75 * kinds2[a, b] / total * p2(b, c) if total else p2(b, c)
+
     for r in lm_scoring.op4_lm_scoring(spark, DATA).collect():
         w = words[r["doc_id"]]
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0) and r["n_tokens"] == len(w) - 1 and r["train_tokens"] == n
         assert r["n_known"] == sum(uni[x] > 0 for x in w[1:]) and r["base_score"] == pytest.approx(sum(math.log10(p(x)) for x in w[1:]))
-        exact = sum(math.log10(((bi[a, b] - 0.75) / uni[a] if bi[a, b] else 0) + (0.75 * kinds[a] / uni[a] if uni[a] else 1) * p(b)) for a, b in zip(w, w[1:]))
+        exact = math.log10(p2(w[0], w[1])) + sum(math.log10(p3(*x) if lm_scoring.ORDER > 2 else p2(*x[1:])) for x in zip(w, w[1:], w[2:]))
         assert r["score"] == pytest.approx(exact, abs=2e-3 * len(w))
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_orders_and_ids(spark, monkeypatch, order):
+    """Ids of any type; words after each other once in training are likelier the longer the context; shards are read again where few may be held."""
+    monkeypatch.setattr(lm_scoring, "HELD_BYTES", 1000)
+    rng = random.Random(2)
+    train = [" ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(60)) for _ in range(300)] + ["the cat sat on the mat", "a dog sat on a log"] * 20
+    docs = spark.createDataFrame([(f"d{k}", False, t) for k, t in enumerate(train)] + [(None, False, None)], "doc_id string, held_out boolean, text string").repartition(3)
+    asked = spark.createDataFrame([("x", True, "the cat sat on the mat"), ("y", True, "mat the on sat cat the"), ("z", True, "the dog sat on a mat")], docs.schema)
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(asked, lm_scoring.train(docs, order=order)).collect()}
+    assert got["x"] > got["z"] > got["y"]
+    with pytest.raises(ValueError, match="order"):
+        lm_scoring.train(docs, order=4)
+
+
 @pytest.mark.parametrize(("n", "bound"), [(0, 10), (1, 1), (700, 2**64 - 1), (900, 1000), (3000, 10**9), (3, 2**40)])
 def test_elias_fano(n, bound):
     rng = np.random.default_rng(n)
