@@ -15,7 +15,8 @@ relative to their context as one monotone sequence, and their quantised discount
 probabilities.  Level 3 lies in the shard of its context, the pair: a pointer for each
 pair of that shard, successors relative to the pair's place, probabilities, and the pair's
 back-off weight.  A query finds its context, then searches for the successor of its
-word between the context's pointers.
+word between the context's pointers.  One pass over the texts counts for levels 2 and 3: each
+pair goes with the word that follows it.
 
 p(w | u v) = max(n(u v w) - D, 0) / n(u v) + D t(u v) / n(u v) p(w | v), t: distinct
 successors; p(w | v) likewise, down to p(w) = (n(w) + 0.1) / (N + 0.1 (V + 1)).  An end
@@ -57,12 +58,16 @@ HELD_BYTES = 256 << 20
 U = np.uint64
 
 
+#: Ones in each byte, the top bit of each, and the place of the k-th set bit of a byte, at 256 k + byte.
+BYTES, TOPS = U(0x0101010101010101), U(0x8080808080808080)
+IN_BYTE = np.array([next((p for p in range(8) if b >> p & 1 and bin(b & ((1 << p) - 1)).count("1") == k), 0) for k in range(8) for b in range(256)], U)
+
+
 class EliasFano:
     """A monotone sequence of n integers under a bound, in about 2 + log2(bound / n) bits each."""
 
-    def __init__(self, low: np.ndarray, high: np.ndarray, ones: np.ndarray, n: int, width: int):
-        self.low, self.high, self.ones, self.n, self.width = low, high, ones, n, width
-        self.zeros = U(64) * np.arange(len(ones), dtype=U) - ones.astype(U)
+    def __init__(self, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray, n: int, width: int):
+        self.low, self.high, self.ones, self.zeros, self.n, self.width = low, high, ones, zeros, n, width
 
     @staticmethod
     def arrays(values: np.ndarray, bound: int) -> dict:
@@ -85,23 +90,25 @@ class EliasFano:
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             high[word[first]] = np.bitwise_or.reduceat(U(1) << (place & 63).astype(U), first)
         ones = np.r_[0, np.cumsum(np.bitwise_count(high), dtype=np.int64)]
-        return {"low": low, "high": high, "ones": ones.astype(np.uint32 if n < 2**32 else np.uint64), "meta": np.array([n, width], np.int64)}
+        zeros = 64 * np.arange(len(ones)) - ones
+        kind = np.uint32 if 64 * len(high) < 2**32 else np.uint64
+        return {"low": low, "high": high, "ones": ones.astype(kind), "zeros": zeros.astype(kind), "meta": np.array([n, width], np.int64)}
 
     @classmethod
     def of(cls, arrays: dict) -> EliasFano:
-        return cls(arrays["low"], arrays["high"], arrays["ones"], *map(int, arrays["meta"]))
+        return cls(arrays["low"], arrays["high"], arrays["ones"], arrays["zeros"], *map(int, arrays["meta"]))
 
     @staticmethod
     def _bit(words: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """The place of the k-th set bit (from 0) of each word."""
-        at = np.zeros(len(words), U)
+        """The place of the k-th set bit (from 0) of each word: the byte by counts that add up from the left, then a table."""
+        x = words - ((words >> U(1)) & U(0x5555555555555555))
+        x = (x & U(0x3333333333333333)) + ((x >> U(2)) & U(0x3333333333333333))
+        upto = ((x + (x >> U(4))) & U(0x0F0F0F0F0F0F0F0F)) * BYTES
         k = k.astype(U)
-        for half in (32, 16, 8, 4, 2, 1):
-            below = np.bitwise_count((words >> at) & U((1 << half) - 1)).astype(U)
-            on = k >= below
-            k = np.where(on, k - below, k)
-            at = np.where(on, at + U(half), at)
-        return at
+        # Bytes up to whose end there are at most k bits.
+        at = U(8) * np.bitwise_count((((k * BYTES) | TOPS) - upto) & TOPS).astype(U)
+        before = (upto << U(8)) >> at & U(255)
+        return at + IN_BYTE[(k - before) * U(256) + (words >> at & U(255))]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -111,19 +118,42 @@ class EliasFano:
         back = np.where(shift == 0, U(0), self.low[word + 1] << ((U(64) - shift) & U(63)))
         return ((self.low[word] >> shift) | back) & U((1 << self.width) - 1)
 
+    def _one(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the i-th set bit: its word and its place there."""
+        word = np.searchsorted(self.ones, i.astype(self.ones.dtype), "right") - 1
+        return word, self._bit(self.high[word], i - self.ones[word].astype(np.int64))
+
     def get(self, i: np.ndarray) -> np.ndarray:
-        word = np.searchsorted(self.ones, i, "right") - 1
-        at = self._bit(self.high[word], i - self.ones[word].astype(np.int64))
+        word, at = self._one(i)
         return (((word * 64).astype(U) + at - i.astype(U)) << U(self.width)) | self._low(i)
 
-    def _begin(self, bucket: np.ndarray) -> np.ndarray:
-        """How many values have high bits below the bucket: ones before its zero."""
-        k = bucket.astype(U) - U(1)
-        some = bucket > 0
-        k = np.where(some, k, U(0))
-        word = np.searchsorted(self.zeros, k, "right") - 1
-        at = self._bit(~self.high[word], k - self.zeros[word])
-        return np.where(some, word * 64 + at.astype(np.int64) - k.astype(np.int64), 0)
+    def span(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values i and i + 1; the next set bit mostly is in the same word."""
+        word, at = self._one(i)
+        first = (((word * 64).astype(U) + at - i.astype(U)) << U(self.width)) | self._low(i)
+        rest = (self.high[word] >> at) >> U(1)
+        gap = np.bitwise_count((rest & (~rest + U(1))) - U(1)).astype(U)
+        second = (((word * 64).astype(U) + at + gap - i.astype(U)) << U(self.width)) | self._low(i + 1)
+        far = np.flatnonzero(rest == 0)
+        second[far] = self.get(i[far] + 1)
+        return first.astype(np.int64), second.astype(np.int64)
+
+    def _bucket(self, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From and to where values have these high bits: between two zeros, which mostly are in the same word."""
+        word, at = self._zero(np.maximum(bucket - 1, 0))
+        low = np.where(bucket > 0, word * 64 + at.astype(np.int64) - bucket + 1, 0)
+        rest = (~self.high[word] >> at) >> U(1)
+        gap = np.bitwise_count((rest & (~rest + U(1))) - U(1)).astype(np.int64)
+        high = low + gap
+        far = np.flatnonzero((rest == 0) | (bucket == 0))
+        word, at = self._zero(bucket[far])
+        high[far] = word * 64 + at.astype(np.int64) - bucket[far]
+        return low, high
+
+    def _zero(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the k-th unset bit: its word and its place there."""
+        word = np.searchsorted(self.zeros, k.astype(self.zeros.dtype), "right") - 1
+        return word, self._bit(~self.high[word], k - self.zeros[word].astype(np.int64))
 
     def find(self, x: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
         """Index of each x, or -1: the successor search of its bucket's values, between ``begin`` and ``end`` if given."""
@@ -134,7 +164,7 @@ class EliasFano:
         top = U(len(self.high) * 64 - self.n - 1)
         inside = np.flatnonzero((x >> U(self.width)) < top)
         bucket = (x[inside] >> U(self.width)).astype(np.int64)
-        lo, hi = self._begin(bucket), self._begin(bucket + 1)
+        lo, hi = self._bucket(bucket)
         if begin is not None:
             lo, hi = np.maximum(lo, begin[inside]), np.minimum(hi, end[inside])
         wanted = x[inside] & U((1 << self.width) - 1)
@@ -262,7 +292,7 @@ class Trie:
                 continue
             context = file["contexts"].find(contexts[on])
             on, context = on[context >= 0], context[context >= 0]
-            begin, end = (file["pointers"].get(context + k).astype(np.int64) for k in (0, 1))
+            begin, end = file["pointers"].span(context)
             at = file["successors"].find(context.astype(U) * U(self.vocabulary) + words[on].astype(U), begin, end)
             place[on] = at
             on, at = on[at >= 0], at[at >= 0]
@@ -273,12 +303,13 @@ class Trie:
         """Of pairs, by shard and place, each with a word that follows: the discounted probability (0 if never seen) and the pair's back-off weight."""
         out, weight = np.zeros(len(shard)), np.ones(len(shard))
         for s, on in _by_shard(shard):
+            on = on[np.argsort(place[on])]  # neighbours in the file one after the other
             file = self._file(f"triples-{s}")
             if not file:
                 continue
             weight[on] = _value(file["backoffs"][place[on]])
             on = on[words[on] >= 0]
-            begin, end = (file["pointers"].get(place[on] + k).astype(np.int64) for k in (0, 1))
+            begin, end = file["pointers"].span(place[on])
             at = file["successors"].find(place[on].astype(U) * U(self.vocabulary) + words[on].astype(U), begin, end)
             on, at = on[at >= 0], at[at >= 0]
             out[on] = _value(file["codes"][at])
@@ -469,14 +500,16 @@ def _count_triples(figures: dict):
 
         def send() -> Iterator[pa.RecordBatch]:
             pairs, words = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-            yield from _sent_triples(*_summed_triples(pairs, words, None, int(v)), figures["pair_shards"])
+            yield from _sent_triples(*_summed_triples(pairs, words, None, int(v) + 1), figures["pair_shards"])
 
         for _, words in _pieces(batches):
             ranks, ends = _ranked(trie, known, words)
-            at = _inner(ranks, ends)
             ranks = ranks.astype(U)
-            held.append((ranks[at - 2] * v + ranks[at - 1], ranks[at]))
-            size += len(at)
+            # Every pair is sent once, with the word that follows; one that ends its text with a mark that is no word.
+            follow = np.r_[ranks[2:], v]
+            follow[ends - 1] = v
+            held.append((ranks[:-1] * v + ranks[1:], follow))
+            size += len(follow)
             if size >= FLUSH:
                 yield from send()
                 held, size = [], 0
@@ -544,9 +577,9 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> dict:
     sizes = [made[s]["n"] if s in made else 0 for s in range(2**bits)]
     figures |= {"words": {str(s): 1 for s in made}, "vocabulary": sum(sizes), "tokens": sum(r["total"] for r in made.values()), "offsets": [0, *np.cumsum(sizes)[:-1].tolist()]}
 
-    def pair_level(key, group):
+    def _level_two(shard: int, keys: np.ndarray, counts: np.ndarray) -> pa.Table:
+        """Writes the shard's pairs; what it sends on: how many successors each context has here."""
         trie, _ = _trie_of(figures)
-        keys, counts = _received(group)
         v = U(max(trie.vocabulary, 1))
         context, word = (keys // v).astype(np.int64), keys % v
         begin = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
@@ -555,13 +588,28 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> dict:
         p = np.maximum(counts - DISCOUNT, 1e-9) / trie.counts(contexts)[place]
         parts = _coded("contexts", EliasFano.arrays(contexts, trie.vocabulary)) | _coded("pointers", EliasFano.arrays(np.r_[begin, len(keys)], len(keys)))
         parts |= _coded("successors", EliasFano.arrays(place.astype(U) * v + word, len(contexts) * int(v)))
-        write_level(f"{path}/pairs-{key[0].as_py()}", parts | {"codes": quantised(np.log10(p))})
+        write_level(f"{path}/pairs-{shard}", parts | {"codes": quantised(np.log10(p))})
         shards = np.searchsorted(trie.offsets, contexts, "right") - 1
         # Empty shards share their offset with the next one, which "right" passes to.
         rows = [b for b in _sent(shards, contexts.astype(U), spans)]
-        figure = pa.RecordBatch.from_arrays([pa.array([-1 - key[0].as_py()], pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([b""], pa.binary()), pa.array([b""], pa.binary())], ["shard", "first", "n", "steps", "counts"])
+        figure = pa.RecordBatch.from_arrays([pa.array([-1 - shard], pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([b""], pa.binary()), pa.array([b""], pa.binary())], ["shard", "first", "n", "steps", "counts"])
         return pa.Table.from_batches([figure, *rows])
 
+    def pair_level(key, group):
+        return _level_two(key[0].as_py(), *_received(group))
+
+    def both_levels(key, group):
+        shard, v = key[0].as_py(), max(figures["vocabulary"], 1)
+        pairs, spans, words, counts = _received_triples(group, v + 1)
+        sent = _level_two(shard, pairs, np.add.reduceat(counts, np.cumsum(spans) - spans))
+        owner, real = np.repeat(np.arange(len(pairs)), spans), words < U(v)
+        owner, words, counts = owner[real], words[real], counts[real]
+        spans, total = np.bincount(owner, minlength=len(pairs)), np.bincount(owner, counts, len(pairs))
+        backoffs = quantised(np.log10(np.where(total > 0, DISCOUNT * spans / np.maximum(total, 1), 1.0)))
+        parts = _coded("pointers", EliasFano.arrays(np.r_[0, np.cumsum(spans)], len(words))) | _coded("successors", EliasFano.arrays(owner.astype(U) * U(v) + words, len(pairs) * v))
+        write_level(f"{path}/triples-{shard}", parts | {"codes": quantised(np.log10(np.maximum(counts - DISCOUNT, 1e-9) / np.maximum(total, 1)[owner])), "backoffs": backoffs})
+        return sent
+
     def backoff_level(key, group):
         trie, _ = _trie_of(figures)
         shard = key[0].as_py()
@@ -572,31 +620,14 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> dict:
         write_level(f"{path}/backoffs-{shard}", {"codes": codes})
         return pa.table({"shard": pa.array([shard], pa.int64())})
 
-    def triple_level(key, group):
-        trie, _ = _trie_of(figures)
-        shard, v = key[0].as_py(), U(max(trie.vocabulary, 1))
-        pairs, spans, words, counts = _received_triples(group, int(v))
-        _, place, _ = trie.pairs((pairs // v).astype(np.int64), (pairs % v).astype(np.int64))
-        size = trie._file(f"pairs-{shard}")["successors"].n
-        owner = np.repeat(np.arange(len(pairs)), spans)
-        total = np.bincount(owner, counts, len(pairs))
-        pointers = np.zeros(size + 1, np.int64)
-        pointers[place + 1] = spans
-        backoffs = np.full(size, STEPS, np.uint16)
-        backoffs[place] = quantised(np.log10(DISCOUNT * spans / total))
-        parts = _coded("pointers", EliasFano.arrays(np.cumsum(pointers), len(words))) | _coded("successors", EliasFano.arrays(place[owner].astype(U) * v + words, size * int(v)))
-        write_level(f"{path}/triples-{shard}", parts | {"codes": quantised(np.log10(np.maximum(counts - DISCOUNT, 1e-9) / total[owner])), "backoffs": backoffs})
-        return pa.table({"shard": pa.array([shard], pa.int64())})
-
     if made:
-        spread = staged(texts.mapInArrow(_count_pairs(figures), SENT).groupBy("shard").applyInArrow(pair_level, SENT), "lm-pairs")
+        sent = texts.mapInArrow(_count_pairs(figures), SENT) if order == 2 else texts.mapInArrow(_count_triples(figures), SENT3)
+        spread = staged(sent.groupBy("shard").applyInArrow(pair_level if order == 2 else both_levels, SENT), "lm-pairs")
         figures["pairs"] = {str(-1 - r["shard"]): 1 for r in spread.where("shard < 0").select("shard").collect()}
+        figures["triples"] = dict(figures["pairs"]) if order > 2 else {}
         done = spread.where("shard >= 0").groupBy("shard").applyInArrow(backoff_level, "shard bigint").collect()
         figures["backoffs"] = {str(r["shard"]): 1 for r in done}
         discard(spread)
-    if figures["pairs"] and order > 2:
-        done = texts.mapInArrow(_count_triples(figures), SENT3).groupBy("shard").applyInArrow(triple_level, "shard bigint").collect()
-        figures["triples"] = {str(r["shard"]): 1 for r in done}
     return figures
 
 
