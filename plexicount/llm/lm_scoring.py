@@ -42,6 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,8 +51,8 @@ from .common import discard, filesystem, fresh_dir, read_whole, staged, table, w
 END = b" end"  # no word has a space
 DISCOUNT, ADDED = 0.75, 0.1
 STEPS, LOWEST = 65535, -16.0
-#: Words that are worked on together, pairs after which a task sends on its counts, words of a worker's cache.
-TOGETHER, FLUSH, CACHED = 400_000, 4_000_000, 400_000
+#: Bytes of text that are worked on together, pairs after which a task sends on its counts, words of a worker's cache.
+TOGETHER, FLUSH, CACHED = 3_000_000, 4_000_000, 400_000
 ORDER = 3
 #: Bytes of shards that a worker keeps where it can't map them.
 HELD_BYTES = 256 << 20
@@ -403,23 +404,28 @@ def _received_triples(group: pa.Table, vocabulary: int) -> tuple[np.ndarray, np.
     return _summed_triples(np.concatenate(pairs), np.concatenate(words), np.concatenate(counts), vocabulary)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+class Tokens:
+    """The words of some texts: distinct ones, for each token which one it is, and how many each text has."""
 
+    def __init__(self, texts: pa.Array):
+        lowered = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(lowered)
+        self.sizes = np.where(pc.equal(lowered, "").to_numpy(zero_copy_only=False), 0, pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        coded = split.flatten().dictionary_encode()
+        self.codes = coded.indices.to_numpy().astype(np.int64)
+        self.words = coded.dictionary.cast(pa.binary()).to_pylist()
+        if b"" in self.words:  # what an empty text splits into
+            self.codes = self.codes[self.codes != self.words.index(b"")]
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[list[bytes]]]]:
-    """Rows with their words, about TOGETHER words at a time."""
-    rows, words, size = [], [], 0
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], Tokens]]:
+    """Columns but the last, and the last one's words, about TOGETHER bytes of text at a time."""
     for batch in batches:
-        for *row, text in zip(*[c.to_pylist() for c in batch.columns]):
-            rows.append(row)
-            words.append(words_of(text))
-            size += len(words[-1])
-            if size >= TOGETHER:
-                yield rows, words
-                rows, words, size = [], [], 0
-    if rows:
-        yield rows, words
+        texts = pc.fill_null(batch.column(batch.num_columns - 1), "")
+        part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // TOGETHER
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+        for a, z in zip(cuts, cuts[1:]):
+            yield [c.slice(a, z - a) for c in batch.columns[:-1]], Tokens(texts.slice(a, z - a))
 
 
 def _count_words(bits: int):
@@ -429,10 +435,10 @@ def _count_words(bits: int):
             yield from _sent((keys >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64), keys, n)
 
         counts: Counter = Counter()
-        for rows, words in _pieces(batches):
-            for ws in words:
-                counts.update(ws)
-            counts[END] += len(rows)
+        for _, tokens in _pieces(batches):
+            found = np.bincount(tokens.codes, minlength=len(tokens.words)).tolist()
+            counts.update({w: n for w, n in zip(tokens.words, found) if n})
+            counts[END] += len(tokens.sizes)
             if len(counts) > 2 * CACHED:
                 yield from send(counts)
                 counts = Counter()
@@ -452,18 +458,22 @@ def _trie_of(figures: dict) -> Trie:
     return held[key]
 
 
-def _ranked(trie: Trie, known: dict, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+def _ranked(trie: Trie, known: dict, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
     """Ranks of all words with an end before the first text and after each; where each text's tokens end."""
-    flat = [END]
-    for ws in words:
-        flat += ws
-        flat.append(END)
-    missing = list(set(flat).difference(known))
+    wanted = [*tokens.words, END]
+    missing = [w for w in wanted if w not in known]
     if len(known) + len(missing) > CACHED:
         known.clear()
-        missing = list(set(flat))
+        missing = wanted
     known.update(zip(missing, trie.ranks(hashes(missing)).tolist()))
-    return np.fromiter(map(known.__getitem__, flat), np.int64, len(flat)), np.cumsum([len(ws) + 1 for ws in words])
+    ranks = np.fromiter(map(known.__getitem__, wanted), np.int64, len(wanted))
+    ends = np.cumsum(tokens.sizes + 1)
+    flat = np.full(int(ends[-1]) + 1, ranks[-1])
+    words = np.ones(len(flat), bool)
+    words[0] = False
+    words[ends] = False
+    flat[words] = ranks[tokens.codes]
+    return flat, ends
 
 
 def _count_pairs(figures: dict):
@@ -475,8 +485,8 @@ def _count_pairs(figures: dict):
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
             yield from _sent(pair_shard(keys, figures["pair_shards"]), keys, counts)
 
-        for _, words in _pieces(batches):
-            ranks, _ = _ranked(trie, known, words)
+        for _, tokens in _pieces(batches):
+            ranks, _ = _ranked(trie, known, tokens)
             held.append(ranks[:-1].astype(U) * U(trie.vocabulary) + ranks[1:].astype(U))
             size += len(held[-1])
             if size >= FLUSH:
@@ -502,8 +512,8 @@ def _count_triples(figures: dict):
             pairs, words = (np.concatenate([h[k] for h in held]) for k in (0, 1))
             yield from _sent_triples(*_summed_triples(pairs, words, None, int(v) + 1), figures["pair_shards"])
 
-        for _, words in _pieces(batches):
-            ranks, ends = _ranked(trie, known, words)
+        for _, tokens in _pieces(batches):
+            ranks, ends = _ranked(trie, known, tokens)
             ranks = ranks.astype(U)
             # Every pair is sent once, with the word that follows; one that ends its text with a mark that is no word.
             follow = np.r_[ranks[2:], v]
@@ -523,8 +533,8 @@ def _score(figures: dict, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, known = _trie_of(figures)
         total = trie.tokens + ADDED * (trie.vocabulary + 1)
-        for rows, words in _pieces(batches):
-            ranks, ends = _ranked(trie, known, words)
+        for columns, tokens in _pieces(batches):
+            ranks, ends = _ranked(trie, known, tokens)
             distinct, place = np.unique(ranks, return_inverse=True)
             seen = distinct >= 0
             count, weight = np.zeros(len(distinct), np.int64), np.ones(len(distinct))
@@ -546,10 +556,9 @@ def _score(figures: dict, kind: pa.DataType):
             # A text's first word follows an end, which is what stands before it in the sequence.
             starts = np.r_[0, ends[:-1]]
             sums = lambda x: np.add.reduceat(x, starts)
-            columns = list(zip(*rows))
             yield pa.record_batch([
-                pa.array(columns[0], kind), pa.array(columns[1], pa.bool_()), pa.array(np.diff(np.r_[0, ends]), pa.int64()), pa.array(sums((n > 0).astype(np.int64)), pa.int64()),
-                pa.array(np.full(len(rows), trie.tokens), pa.int64()), pa.array(sums(np.log10(p))), pa.array(sums(np.log10(q))),
+                columns[0].cast(kind), columns[1], pa.array(np.diff(np.r_[0, ends]), pa.int64()), pa.array(sums((n > 0).astype(np.int64)), pa.int64()),
+                pa.array(np.full(len(ends), trie.tokens), pa.int64()), pa.array(sums(np.log10(p))), pa.array(sums(np.log10(q))),
             ], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
