@@ -52,7 +52,7 @@ END = b" end"  # no word has a space
 DISCOUNT, ADDED = 0.75, 0.1
 STEPS, LOWEST = 65535, -16.0
 #: Bytes of text that are worked on together, pairs after which a task sends on its counts, words of a worker's cache.
-TOGETHER, FLUSH, CACHED = 3_000_000, 4_000_000, 400_000
+TOGETHER, FLUSH, CACHED = 2_000_000, 3_000_000, 400_000
 ORDER = 3
 #: Bytes of shards that a worker keeps where it can't map them.
 HELD_BYTES = 256 << 20
@@ -510,6 +510,7 @@ def _count_triples(figures: dict):
 
         def send() -> Iterator[pa.RecordBatch]:
             pairs, words = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            held.clear()
             yield from _sent_triples(*_summed_triples(pairs, words, None, int(v) + 1), figures["pair_shards"])
 
         for _, tokens in _pieces(batches):
@@ -518,11 +519,11 @@ def _count_triples(figures: dict):
             # Every pair is sent once, with the word that follows; one that ends its text with a mark that is no word.
             follow = np.r_[ranks[2:], v]
             follow[ends - 1] = v
-            held.append((ranks[:-1] * v + ranks[1:], follow))
+            held.append((ranks[:-1] * v + ranks[1:], follow.astype(np.uint32 if v < 2**32 else U)))
             size += len(follow)
             if size >= FLUSH:
                 yield from send()
-                held, size = [], 0
+                size = 0
         if size:
             yield from send()
 
