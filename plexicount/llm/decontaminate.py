@@ -208,7 +208,6 @@ def shards(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> l
     the driver, and a task holds one at a time."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL").distinct()
-    items = staged(items, "benchmark-items")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 + total // SHARD_BYTES
     folder = fresh_dir(spark, "automata")

@@ -57,6 +57,8 @@ BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 #: Rows from which on a join key is dealt, how many such keys (a task gets less than one in MOST of
 #: all rows by any other), and over how many tasks at most.
 HOT, MOST, SPREAD = 256, 10_000, 1000
+#: Links for each file of labels.
+FILE_ROWS = 200_000
 #: Entries of the 0/1 matrices by which many pairs are verified at once.
 CELLS = 8_000_000
 CACHE_LIMIT, CACHED_BYTES = 300_000, 64
@@ -288,7 +290,9 @@ def components(links: DataFrame) -> DataFrame:
     """node, label (smallest node of its component) for the nodes of ``links`` (a, b)."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = staged(both, "near-links")
-    before = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "near-labels")
+    # Files of a size, whatever the number of shuffle partitions.
+    files = 1 + both.count() // FILE_ROWS
+    before = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")).coalesce(files), "near-labels")
     labels, hot = before, hot_keys(both, "b")
     while True:
         near = spread_join(both, labels.select(F.col("node").alias("b"), "label"), "b", "a", hot).groupBy("a").agg(F.min("label").alias("near"))
@@ -296,7 +300,7 @@ def components(links: DataFrame) -> DataFrame:
         above = labels.select(F.col("node").alias("label"), F.col("label").alias("l2"))
         # Labels only merge, so those that were frequent are the ones that are.
         jumped = spread_join(stepped, above, "label", "node", hot_keys(labels, "label"), "left").select("node", "old", F.least("label", F.coalesce("l2", "label")).alias("label"))
-        done = staged(jumped, "near-labels")
+        done = staged(jumped.coalesce(files), "near-labels")
         discard(before)
         labels, before = done.select("node", "label"), done
         if done.where("label <> old").isEmpty():
