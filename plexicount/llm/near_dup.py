@@ -61,7 +61,7 @@ HOT, MOST, SPREAD = 256, 10_000, 1000
 FILE_ROWS = 200_000
 #: Entries of the 0/1 matrices by which many pairs are verified at once.
 CELLS = 8_000_000
-CACHE_LIMIT, CACHED_BYTES = 300_000, 64
+CACHE_LIMIT, CACHED_BYTES = 100_000, 64
 #: Odd multipliers of the rolling combination of word hashes, by position, and of sequences shorter than a shingle.
 MIX = np.random.default_rng(20).integers(1, 2**63, 2 * WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _R = np.random.default_rng(21)
@@ -149,8 +149,15 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), HASHES)
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Parts of batches, so that few texts are Python objects at a time."""
     for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _few(batches):
         ns, digests, signatures = [], [], []
         for text in batch.column(1).to_pylist():
             found = shingles(text)
@@ -163,7 +170,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of doc, text, digest: the shingle sets of the rows whose set has that digest."""
-    for batch in batches:
+    for batch in _few(batches):
         docs, sets = [], []
         for doc, text, known in zip(*[c.to_pylist() for c in batch.columns]):
             found = shingles(text)
