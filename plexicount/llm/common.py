@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import wraps
 from urllib.parse import urlparse
 from uuid import uuid4
 
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..storage import discard, fresh_dir, shared_dir, staged
 
-__all__ = ["LOWER", "NON_WORD", "UPPER", "WS", "ascii_lower", "discard", "filesystem", "fresh_dir", "read_whole", "row_of", "shared_dir", "staged", "table", "worker_cache", "write_whole"]
+__all__ = ["LOWER", "NON_WORD", "UPPER", "WS", "ascii_lower", "discard", "filesystem", "fresh_dir", "give_back", "gives_back", "read_whole", "row_of", "shared_dir", "staged", "table", "worker_cache", "write_whole"]
 
 #: ASCII white space, the only separator of words in most contracts.
 WS = r"[\x20\x09-\x0D]+"
@@ -67,3 +69,25 @@ def worker_cache(name: str) -> dict:
     if name not in held:
         held.clear()
     return held.setdefault(name, {})
+
+
+def give_back() -> None:
+    """Memory that is free goes back to the system.  Arrow's pool and the C library keep it else, and an
+    executor keeps idle workers for a minute."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def gives_back(task: Callable) -> Callable:
+    """For functions of a worker that yield batches: what a task has freed doesn't stay with the idle worker."""
+
+    @wraps(task)
+    def run(*args):
+        yield from task(*args)
+        give_back()
+
+    return run

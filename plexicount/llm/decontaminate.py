@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, fresh_dir, read_whole, row_of, staged, table, worker_cache, write_whole
+from .common import discard, fresh_dir, gives_back, read_whole, row_of, staged, table, worker_cache, write_whole
 
 #: Of lower-cased UTF-8: what isn't a digit, a-z or part of a character beyond ASCII.
 BREAKS = bytes(c for c in range(128) if not (48 <= c <= 57 or 97 <= c <= 122))
@@ -254,6 +254,7 @@ def _finder(path: str):
     """One pass over the rows, with one automaton."""
 
     @F.arrow_udf("struct<n_words:bigint,hits:array<int>,items:array<string>>")
+    @gives_back
     def leaks(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scan = _matcher(path).scan
         for batch in texts:
@@ -323,6 +324,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
         path = paths[0]
 
         @F.arrow_udf("struct<text:string,share:double>")
+        @gives_back
         def cleaned(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             scan = _matcher(path).scan
             for batch in texts:
@@ -340,6 +342,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
                     shares.append(share)
                 yield pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(shares, pa.float64())], ["text", "share"])
 
+        # Else the filter gets a pass of its own, with workers of its own.
+        cleaned = cleaned.asNondeterministic()
         done = rows.select("row", cleaned("text").alias("own")).select("row", "own.*")
         return back(done.where(F.col("share") <= max_coverage))
 

@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, row_of, staged, table, worker_cache
+from .common import discard, gives_back, row_of, staged, table, worker_cache
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS, BATCH, MISS = 32, 4, 16, 1e-6
@@ -156,6 +156,7 @@ def _few(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Reco
             yield batch.slice(k, rows)
 
 
+@gives_back
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _few(batches):
         ns, digests, signatures = [], [], []
@@ -168,6 +169,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     _word_hashes().clear()  # an idle worker keeps no words
 
 
+@gives_back
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of doc, text, digest: the shingle sets of the rows whose set has that digest."""
     for batch in _few(batches):
@@ -182,6 +184,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _kept_pairs(least: list[int]):
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -191,6 +194,7 @@ def _kept_pairs(least: list[int]):
     return run
 
 
+@gives_back
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         on = []

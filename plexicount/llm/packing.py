@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table, worker_cache
+from .common import gives_back, staged, table, worker_cache
 
 FAN_IN = 16
 #: Bins with at most so many free tokens are closed at once.
@@ -206,6 +206,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     schema = SCHEMA.format(id=source.schema["doc_id"].dataType.simpleString())
     end = end_id.to_bytes(4, "little")
 
+    @gives_back
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

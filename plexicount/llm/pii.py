@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_of, table
+from .common import gives_back, row_of, table
 
 #: The first four have base patterns; the others are the network's alone.
 KINDS = ("email", "ip", "card", "phone", "secret", "ssn")
@@ -409,6 +409,7 @@ def annotate(docs: DataFrame, text_col: str = "text") -> DataFrame:
     weights = trained().w
 
     @F.arrow_udf("array<struct<start:int,end:int,kind:string,base:boolean>>")
+    @gives_back
     def spans(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = BiLstmCrf(weights)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("base", pa.bool_())]))
@@ -424,6 +425,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     weights = trained().w
 
     @F.arrow_udf("string")
+    @gives_back
     def redacted(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = BiLstmCrf(weights)
         for batch in texts:
